@@ -71,7 +71,7 @@ class Quantizer:
 
     def refit(self, x: np.ndarray, ridge: float = 1.0) -> "Quantizer":
         """All codebooks but the routing ones at once, by least squares on the codes of x; cells stay where they are."""
-        codes, _, _ = self.encode(x)
+        codes = np.concatenate([self.encode(x[i : i + 1024])[0] for i in range(0, len(x), 1024)])
         first, r = self.offset[self.routing], self.routing
         rest = x - sum(self.all[codes[:, j]] for j in range(r))
         codes, old = codes[:, r:] - first, self.all[first:]
