@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .identity import fingerprint_hash
+from .vectors import FLOATS
 
 
 class Embedder(Protocol):
@@ -97,7 +98,7 @@ def model_hash(embedder: Embedder) -> str:
 def embed_column(text: Column | str, embedder: Embedder) -> Column:
     """array<float> of each text; null texts count as empty."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(FLOATS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(embedder.embed([x or "" for x in s]))

@@ -77,6 +77,7 @@ def dequantize_int8(q: Column | str) -> Column:
     return F.transform(q["codes"], lambda c: _f32(c.cast("float") * q["scale"]))
 
 
+FLOATS = T.ArrayType(T.FloatType())
 INT4 = T.StructType([T.StructField("scales", T.ArrayType(T.FloatType())), T.StructField("codes", T.BinaryType())])
 
 
@@ -101,7 +102,7 @@ def quantize_int4(v: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["scales", "codes"])
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(FLOATS)
 def dequantize_int4(q: pd.DataFrame) -> pd.Series:
     out = []
     for scales, codes in zip(q["scales"], q["codes"], strict=True):
@@ -115,18 +116,18 @@ def dequantize_int4(q: pd.DataFrame) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_float16(v: pd.Series) -> pd.Series:
     """Little-endian half precision, rounded to nearest even."""
     return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype("<f2").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(FLOATS)
 def decode_float16(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(FLOATS)
 def decode_float32(b: pd.Series) -> pd.Series:
     """Little-endian single precision; data cut off inside a number gives null."""
     return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4"))

@@ -27,21 +27,32 @@ def dedup_expand(pool: DataFrame, references: DataFrame, key: str, order: str =
     return references.join(pool.select("pool_index", key), "pool_index").select(order, key)
 
 
+#: Rows that one task numbers, about, and ranges at most.
+INDEX_ROWS, INDEX_RANGES = 200_000, 1024
+
+
 def dense_index(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
     """Number rows 0.. in a unique order, without one task that sorts everything.
 
-    Rows are range-partitioned; each partition counts its rows, and the offsets of at most a few thousand partitions are
-    added to local numbers.
+    Ranges of the order are cut at boundaries drawn from a small sample, so a row's range depends on the row alone and
+    recomputed tasks agree. Rows are numbered inside their range, and the ranges' sizes (INDEX_RANGES at most) are the offsets.
     """
     keys = [order] if isinstance(order, str) else order
-    ranged = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
-    local = Window.partitionBy("_p").orderBy(*keys)
-    numbered = ranged.withColumn("_i", F.row_number().over(local) - 1)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = numbered.groupBy("_p").agg(F.count("*").alias("_c"), F.min(F.struct(*keys)).alias("_least"))
-    offsets = offsets.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")
-    del before
-    return numbered.join(offsets, "_p").withColumn(name, (F.col("_off") + F.col("_i")).cast("long")).drop("_p", "_i", "_off")
+    spark, n = df.sparkSession, df.count()
+    ranges = min(max(1, -(-n // INDEX_ROWS)), INDEX_RANGES)
+    if ranges == 1:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    drawn = df.select(*keys).sample(min(1.0, 40 * ranges / n), seed=1).orderBy(*keys).collect()
+    cuts = [tuple(drawn[i * len(drawn) // ranges]) for i in range(1, ranges)] if drawn else []
+    kinds = [df.schema[k].dataType for k in keys]
+    bounds = [F.struct(*(F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, cut, kinds, strict=True))) for cut in cuts]
+    whole = F.struct(*keys)
+    placed = df.withColumn("_range", sum(((b <= whole).cast("int") for b in bounds), F.lit(0)))
+    sizes = dict(placed.groupBy("_range").count().collect())
+    offsets = {r: sum(c for q, c in sizes.items() if q < r) for r in sizes}
+    start = spark.createDataFrame(list(offsets.items()) or [(0, 0)], "_range int, _start long")
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) - 1
+    return placed.withColumn("_i", local).join(F.broadcast(start), "_range").withColumn(name, F.col("_start") + F.col("_i")).drop("_range", "_i", "_start")
 
 
 def frame_map(df: DataFrame, image_hash: str = "image_sha256", order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
@@ -62,7 +73,7 @@ def _sequential(df: DataFrame, walk, order: str, vec: str) -> DataFrame:
         at = walk(x / np.where(norm == 0, 1, norm))
         return pd.DataFrame({"position": np.arange(len(pdf)), order: pdf[order].to_numpy()[at]})
 
-    return df.select(order, vec).groupBy(F.lit(0)).applyInPandas(run, f"position long, {order} long")
+    return df.select(order, vec, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(run, f"position long, {order} long")
 
 
 def similarity_order(df: DataFrame, order: str = "ordinal", vec: str = "embedding") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..tables import materialize
 
 NEXT_CHUNK, SEMANTIC, CITATION = 0, 1, 2
 #: Edges that one node may have.
@@ -67,4 +68,6 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, *, hops: int, max_frontier:
         fresh = fresh.join(so_far, "qid").withColumn("arrival", (F.col("_n") + F.row_number().over(w) - 1).cast("int"))
         fresh = fresh.where(F.col("arrival") < max_frontier).select("qid", "node", "arrival", F.lit(hop).alias("hop"))
         seen = seen.unionByName(fresh)
+        if hop < hops:  # the next level reads it three times
+            seen = materialize(seen, "walk")
     return seen

@@ -151,7 +151,8 @@ def neighbor_context(chunks: DataFrame, radius: int = 1, joiner: str = " ") -> D
 
     Ordinals meet through an equi-join on shifted copies, not through one window over the whole table.
     """
-    shifted = chunks.select((F.col("ordinal") + F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).alias("_at"), F.col("ordinal").alias("_from"), F.coalesce("canonical_text", F.lit("")).alias("_text"))
+    spots = F.sequence(F.col("ordinal") - radius, F.col("ordinal") + radius)
+    shifted = chunks.select(F.explode(spots).alias("_at"), F.col("ordinal").alias("_from"), F.coalesce("canonical_text", F.lit("")).alias("_text"))
     gathered = chunks.select("ordinal").join(shifted, F.col("ordinal") == F.col("_at"))
     ordered = F.array_sort(F.collect_list(F.struct("_from", "_text")))
     return gathered.groupBy("ordinal").agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), joiner).alias("context"))

@@ -38,8 +38,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()
-    return rows[0][0]
+    fs, p = _fs(spark, path)  # Spark's own readers skip files that start with an underscore
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
 
 
 def bad_chunks(rows: DataFrame, dim: int) -> DataFrame:
@@ -86,9 +90,8 @@ def build_corpus(
         raise ValidationError("ordinals must be 0..n-1 and there must be rows")
     temporary = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex[:8]}"
 
-    def put(df: DataFrame, table: str, by: str | None = None) -> None:
-        w = df.write.option("compression", p.codec)
-        (w.partitionBy(by) if by else w).parquet(f"{temporary}/{table}")
+    def put(df: DataFrame, table: str) -> None:
+        df.write.option("compression", p.codec).parquet(f"{temporary}/{table}")
 
     ordered = (rows.repartitionByRange(partitions, "ordinal") if partitions else rows.repartitionByRange("ordinal")).sortWithinPartitions("ordinal")
     if mrl_dim:
@@ -118,7 +121,7 @@ def build_corpus(
         neighbors = exact_search(vectors, vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query")), graph_top_m + 1) if graph_top_m else None
         put(build_graph(chunks.select("ordinal"), neighbors, top_m=graph_top_m), "edges")
     for name, df in (spaces or {}).items():
-        put(df.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(name).alias("space")), f"space_vectors/space={name}") if False else put(df.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding")), f"space_vectors/space={name}")
+        put(df.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding")), f"space_vectors/space={name}")
     if blobs is not None:
         put(blobs, "blobs")
         if blob_spans is not None:

@@ -15,7 +15,7 @@ from .functions.embed import LexicalEmbedder, embed_column
 from .functions.identity import chunk_id, corpus_input_hash, item_input_hash
 from .functions.sql import register_functions
 from .functions.text import chunk_windows, derive, lexical_tokens, media_uri, template
-from .functions.vectors import all_finite, cosine, dequantize_int8, dot, l2_norm, l2_normalize, quantize_int4, quantize_int8, truncate_renormalize
+from .functions.vectors import all_finite, cosine, dequantize_int8, dot, l2_norm, quantize_int4, quantize_int8, truncate_renormalize
 from .operators import evaluate as ev
 from .operators.ann import ann_search, ivf_build
 from .operators.dedup import cluster_order, dedup_expand, dedup_pool, dense_index, similarity_order
@@ -167,9 +167,7 @@ def bm25_corpus(spark, d):
 
 
 def _bm25_top(spark, d, k):
-    index = bm25_build(_chunks(spark, d))
-    index["postings"] = index["postings"].persist()
-    return bm25_search(index, _texts(spark, d), k)
+    return bm25_search(bm25_build(_chunks(spark, d)), _texts(spark, d), k)
 
 
 @query(f"with {_BM25} select qid, doc_id ordinal, round(score, 6) score from b")
@@ -263,11 +261,11 @@ def template_render(spark, d):
     return p.select("p_partkey", template(p, "{p_name} ({brand})\nsize {big}").alias("text"))
 
 
-@query("select c_custkey, 'media://seg-' || (c_custkey // 100) || '.mp4' path, c_custkey % 100 frame from customer")
+@query("select c_custkey, 'seg-' || (c_custkey // 100) || '.mp4' path, c_custkey % 100 frame from customer")
 def media_uri_parse(spark, d):
     c = _t(spark, d, "customer").withColumn("uri", F.format_string("media://seg-%d.mp4#frame=%d", F.floor(F.col("c_custkey") / 100), F.col("c_custkey") % 100))
     parsed = c.select("c_custkey", media_uri("uri").alias("m"))
-    return parsed.select("c_custkey", F.substring("m.path", 1, 1000).alias("path"), "m.frame")
+    return parsed.select("c_custkey", "m.path", "m.frame")
 
 
 @query("with x as (select row_number() over (order by c_mktsegment, c_custkey::varchar) - 1 ordinal, c_custkey::varchar || '' k, c_mktsegment s, c_name from customer) select ordinal, s || '|' || k \"key\", c_name canonical_text, 'item://customers/' || s || '|' || k source_uri from x")
@@ -478,7 +476,7 @@ def mrr(spark, d):
     return r.select(*(F.round(c, 6).alias(c) for c in r.columns))
 
 
-@query(f"with {_TWO}, s as (select a.qid, a.ordinal, a.rank ra, b.rank rb from a join b using (qid, ordinal)), p as (select x.qid, sign((x.ra - y.ra) * (x.rb - y.rb)) s from s x join s y on x.qid = y.qid and x.ordinal < y.ordinal), n as (select qid, count(*) n from s group by 1), t as (select qid, sum(s) / sum(abs(s)) tau from p group by 1) select q.qid, round(coalesce(n, 0) / 10.0::double, 6) overlap, round(tau::double, 6) tau from (select distinct qid from a) q left join n using (qid) left join t using (qid)")
+@query(f"with {_TWO}, both_s as (select a.qid, a.ordinal, a.rank ra, b.rank rb from a join b using (qid, ordinal)), p as (select x.qid, sign((x.ra - y.ra) * (x.rb - y.rb)) s from both_s x join both_s y on x.qid = y.qid and x.ordinal < y.ordinal), n as (select qid, count(*) n from both_s group by 1), t as (select qid, sum(s) / sum(abs(s)) tau from p group by 1) select q.qid, round(coalesce(n, 0) / 10.0::double, 6) overlap, round(tau::double, 6) tau from (select distinct qid from a) q left join n using (qid) left join t using (qid)")
 def overlap_tau(spark, d):
     a, b = _two(spark, d)
     return ev.ranking_agreement(a, b, 10).select("qid", F.round("overlap", 6).alias("overlap"), F.round("tau", 6).alias("tau"))
@@ -497,7 +495,7 @@ def sign_test_counts(spark, d):
     return ev.sign_counts(_t(spark, d, "lineitem"), "l_discount", "l_tax")
 
 
-@query("with x as (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 at, greatest(1, floor(count(*) over (partition by o_orderpriority) / 12.0))::bigint step from orders) select o_orderkey, o_orderpriority from x where at % step = 0 and at / step < 12")
+@query("with x as (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 pos, greatest(1, floor(count(*) over (partition by o_orderpriority) / 12.0))::bigint step from orders) select o_orderkey, o_orderpriority from x where pos % step = 0 and pos / step < 12")
 def stratified_sample(spark, d):
     return ev.stratified_pick(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 12)
 
@@ -547,7 +545,7 @@ def _sql_query(name: str, spark_sql: str, oracle: str | None = None) -> None:
 _sql_query("q_join_agg", "select n_name, r_name, count(*) n, cast(round(sum(o_totalprice), 2) as double) total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by n_name, r_name")
 _sql_query("q_pricing", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) revenue, count(*) n from lineitem where l_shipdate <= timestamp '1998-09-02' group by l_returnflag, l_linestatus")
 _sql_query("q_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
-_sql_query("q_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+_sql_query("q_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 450000)")
 _sql_query("q_window_rank", "select * from (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) r from orders) x where r <= 3")
 _sql_query("q_window_frame", "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 1 preceding and 1 following), 2) s, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) p from orders")
 _sql_query("q_rollup", "select o_orderstatus, o_orderpriority, count(*) n from orders group by rollup(o_orderstatus, o_orderpriority)")
@@ -558,10 +556,9 @@ _sql_query("q_union_all", "select c_nationkey k from customer union all select s
 _sql_query("q_intersect", "select c_nationkey k from customer where c_acctbal > 9000 intersect select s_nationkey from supplier where s_acctbal > 5000")
 _sql_query("q_except", "select n_nationkey k from nation except select s_nationkey from supplier where s_acctbal > 9000")
 _sql_query("q_full_outer", "select coalesce(a.k, b.k) k, a.n an, b.n bn from (select c_nationkey k, count(*) n from customer where c_acctbal > 9500 group by 1) a full outer join (select s_nationkey k, count(*) n from supplier where s_acctbal > 5000 group by 1) b on a.k = b.k")
-_sql_query("q_asof_like", "select o.o_orderkey, max(e.ts) last_event from orders o join events e on e.user_id = o.o_custkey and e.ts <= o.o_orderdate group by o.o_orderkey")
+_sql_query("q_asof_like", "select o.o_orderkey, min(e.ts) next_event from orders o join events e on e.user_id = o.o_custkey and e.ts >= o.o_orderdate group by o.o_orderkey")
 _sql_query("q_json_props", "select event_id, get_json_object(props, '$.k') k from events where props is not null", "select event_id, json_extract_string(props, '$.k') k from events where props is not null")
 _sql_query("q_tumbling_window", "select window(ts, '1 hour').start w, event_type, count(*) n from events group by window(ts, '1 hour'), event_type", "select time_bucket(interval '1 hour', ts) w, event_type, count(*) n from events group by 1, 2")
 _sql_query("q_session_window", "select user_id, session_window(ts, '30 minutes').start s, count(*) n from events where ts is not null group by user_id, session_window(ts, '30 minutes')", "with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end f from events where ts is not null), y as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) g from x) select user_id, min(ts) s, count(*) n from y group by user_id, g")
 _sql_query("q_vector_functions", "select a.vec_id, round(vector_cosine(cast(a.embedding as array<double>), cast(b.embedding as array<double>)), 6) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 _sql_query("q_chunk_udtf", "select doc_id, c.chunk_no, c.byte_start, c.byte_end from documents, lateral chunk_text(text, 512, 0) c", f"select doc_id, chunk_no, byte_start, byte_end from ({_windows_sql(512, 0)})")
-del l2_normalize

@@ -49,8 +49,7 @@ def read_images(spark: SparkSession, folder: str, labels: DataFrame | None = Non
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_TYPES))
-    root = F.lit(folder.rstrip("/") + "/")
-    origin = F.substring_index(F.col("path"), root, -1)
+    origin = F.substring_index("path", folder.rstrip("/") + "/", -1)
     rows = files.select(origin.alias("origin"), "path", F.col("length").alias("byte_len"), F.sha2("content", 256).alias("image_sha256"), *([F.col("content").alias("data")] if with_data else []))
     rows = dense_index(rows, "origin", "ordinal")
     return label_lookup(rows, labels) if labels is not None else rows.withColumn("label", F.lit(""))

@@ -18,9 +18,14 @@ def stream_chunks(texts: DataFrame, *, text_col: str = "text", uri_col: str = "s
     return windows.withColumn("chunk_id", chunk_id("canonical_text", "source_uri", "byte_start", "byte_end", chunker_version))
 
 
+def _timed(df: DataFrame, time_col: str) -> DataFrame:
+    """Watermarks need timestamps with the session's zone."""
+    return df.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def stream_distinct(chunks: DataFrame, *, time_col: str, delay: str) -> DataFrame:
     """Drop repeats of a chunk id that arrive within `delay` of each other; state is bounded by the watermark."""
-    return chunks.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["chunk_id"])
+    return _timed(chunks, time_col).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
 def embed_stream(chunks: DataFrame, cache: str, embedder, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
@@ -37,7 +42,7 @@ def embed_stream(chunks: DataFrame, cache: str, embedder, checkpoint: str, *, av
 def windowed_counts(events: DataFrame, *, time_col: str = "ts", key: str = "event_type", window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """(window_start, <key>, n): tumbling counts that close once the watermark passes; late rows beyond it are dropped by Spark."""
     w = F.window(time_col, window)
-    return events.withWatermark(time_col, delay).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
+    return _timed(events, time_col).withWatermark(time_col, delay).groupBy(w, key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), key, "n")
 
 
 def read_stream(spark: SparkSession, folder: str, schema, *, files_per_trigger: int = 100) -> DataFrame:
