@@ -2,68 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize, release, work_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD", "WordHasher", "checked_semi", "column", "list_array", "materialize", "mix64", "release", "sub_batches", "windows_of", "work_dir"]
+
 #: A maximal run of letters and digits (categories L and N): what str.isalnum() accepts, without the underscore.
 WORD = re.compile(r"[^\W_]+")
 
 #: Rows that a semi-join may broadcast: 16 bytes each, so 16 MB at most; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
-_written: dict[str, list[str]] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or a temporary one in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-    path = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    atexit.register(shutil.rmtree, path[7:], ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    The written table survives the loss of any executor, and everything behind it is computed once.
-    Files are removed by release() or when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _written:
-        atexit.register(release, spark)
-    _written.setdefault(app, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that materialize() wrote for this application."""
-    try:
-        sc = spark.sparkContext
-        for path in _written.pop(sc.applicationId, []):
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may already be gone
-        pass
-
-
 def checked_semi(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df left-semi keys: broadcast if keys has at most `bound` rows (counted), else a shuffled join.
 
