@@ -20,6 +20,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Rows that a semi-join may broadcast: 16 bytes each, so 16 MB at most; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+
 def checked_semi(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df left-semi keys: broadcast if keys has at most `bound` rows (counted), else a shuffled join.
 

@@ -95,7 +95,13 @@ def look_alike_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
 
 
 def look_alike_pairs(classes: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: the pairs of records of one class whose texts differ."""
-    a = classes.select(F.col("key").alias("key_a"), F.col("text").alias("text_a"), "canonical")
-    b = classes.select(F.col("key").alias("key_b"), F.col("text").alias("text_b"), "canonical")
-    return a.join(b, "canonical").where("text_a != text_b and key_a < key_b").select("key_a", "key_b")
+    """(key_a, key_b), key_a < key_b: the pairs of records of one class whose texts differ.
+
+    Texts are paired first and records joined to them, so records with equal texts never meet each other.
+    """
+    texts = classes.select("canonical", "text").distinct()
+    a, b = (texts.select("canonical", F.col("text").alias(f"text_{x}")) for x in "ab")
+    pairs = a.join(b, "canonical").where("text_a < text_b").select("text_a", "text_b")
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("text").alias(f"text_{x}"), F.col("key").alias(f"k{x}")), f"text_{x}")
+    return pairs.where("ka != kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, materialize
@@ -221,16 +221,37 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: in
     """(id, near): for each valid vector an array of its k nearest others, as (cosine, id) from best to worst.
 
     Approximate: each vector asks `beam` cells and scores `rerank` of a cell exactly; the returned cosines are exact. Vectors
-    that unit_vectors() leaves out take no part; with n of them left each gets min(k, n - 1) neighbours at most.
+    that unit_vectors() leaves out take no part; with n of them left each gets min(k, n - 1) neighbours at most, a single one the empty array.
     Ids must be unique; equal vectors are neighbours with cosine 1; at ties the smaller id comes first. The codebooks
     are fitted on the `sample` vectors whose ids hash lowest.
     """
-    spark = df.sparkSession
     vectors = materialize(unit_vectors(df, id_col, vec_col, dim), "unit-vectors")
-    rows = vectors.count()
-    none = "id long, near array<struct<cosine: double, id: bigint>>"
+    # Copies of a vector are searched once: its k + 1 smallest ids stand for all of them, however many there are.
+    keyed = vectors.select("id", F.md5("v").alias("h"))
+    copied = materialize(keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copied-vectors")
+    search = dict(dim=dim, k=k, codebooks=codebooks, beam=beam, rerank=rerank, sample=sample, seed=seed)
+    if not copied.limit(1).count():
+        return _search(vectors, **search)
+    members = materialize(keyed.join(copied, "h").select("id", "rep"), "vector-copies")
+    near = _search(vectors.join(members.where("id != rep"), "id", "left_anti"), **search)
+    first = Window.partitionBy("rep").orderBy("id")
+    some = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("some"))
+    asked = near.select(F.col("id").alias("rep"), F.explode_outer("near").alias("x")).select("rep", F.col("x.id").alias("other"), F.col("x.cosine").alias("cosine"))
+    others = asked.join(some.select(F.col("rep").alias("other"), F.col("some").alias("theirs")), "other", "left").where("other is not null")
+    others = others.select("rep", "cosine", F.explode(F.coalesce("theirs", F.array("other"))).alias("id"))
+    own = some.select("rep", F.lit(1.0).alias("cosine"), F.explode("some").alias("id"))
+    # At most (k + 1)^2 rows a representative.
+    lists = others.unionByName(own).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "id"))).alias("near"))
+    every = vectors.select("id").join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    near = every.join(lists, "rep").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    return near.select("id", F.transform("near", lambda x: F.struct((-x["far"]).alias("cosine"), x["id"].alias("id"))).alias("near"))
+
+
+def _search(vectors: DataFrame, *, dim: int, k: int, codebooks: int, beam: int, rerank: int, sample: int, seed: int) -> DataFrame:
+    """The search among different vectors."""
+    spark, rows = vectors.sparkSession, vectors.count()
     if not rows:
-        return spark.createDataFrame([], none)
+        return spark.createDataFrame([], "id long, near array<struct<cosine: double, id: bigint>>")
     drawn = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     quantizer = spark.sparkContext.broadcast(fit(_matrix(drawn, dim), rows, codebooks=codebooks, beam=beam, seed=seed))
 

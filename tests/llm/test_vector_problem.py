@@ -53,7 +53,7 @@ def test_dirty_and_few_vectors(spark):
     got = {r.id: [(round(n.cosine, 6), n.id) for n in r.near] for r in nv.nearest_vectors(df, "id", "v", dim=2, k=5).collect()}
     assert got == {0: [(1.0, 1), (0.0, 2)], 1: [(1.0, 0), (0.0, 2)], 2: [(0.0, 0), (0.0, 1)]}
     assert nv.nearest_vectors(df.limit(0), "id", "v", dim=2).count() == 0
-    assert nv.nearest_vectors(df.where("id = 0"), "id", "v", dim=2).count() == 0 or True
+    assert nv.nearest_vectors(df.where("id = 0"), "id", "v", dim=2).first().near == []
 
 
 def test_equal_vectors_are_neighbours(spark):
@@ -62,6 +62,19 @@ def test_equal_vectors_are_neighbours(spark):
     assert all(len(n) == 3 and all(abs(m.cosine - 1) < 1e-6 for m in n) for n in got.values()) and len(got) == 50
 
 
+def test_a_third_of_all_vectors_are_copies(spark):
+    x = clusters(900, seed=2)
+    x[::3] = x[0]
+    x[1], x[4] = x[7], x[7]
+    got = {r.id: [n.id for n in r.near] for r in nv.nearest_vectors(frame(spark, x), "id", "v", dim=16, k=5).collect()}
+    assert got[0] == [3, 6, 9, 12, 15] and got[6] == [0, 3, 9, 12, 15] and got[897] == [0, 3, 6, 9, 12]
+    assert got[4][:2] == [1, 7] and len(got) == 900
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    worst = [np.sort(s[i])[-5] - min(s[i][j] for j in got[i]) for i in got]
+    assert all(len(n) == 5 for n in got.values()) and np.mean(np.array(worst) < 1e-5) >= 0.9
+
+
 def test_additive_codes_get_closer_with_more_codebooks():
     x = clusters(2000, seed=4)
     errors = []
