@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .dedup import dense_index
 
 RESAMPLES = 5000
 
@@ -76,9 +77,9 @@ def linear_percentiles(df: DataFrame, column: str, points: list[float]) -> DataF
 
 def nearest_rank(df: DataFrame, column: str, p: float, *, half: str = "even") -> DataFrame:
     """(value): the element at round(p * (n - 1)), halves to even or away from zero."""
-    numbered = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(Window.orderBy(column)) - 1)
-    at = p * (F.count("*").over(Window.partitionBy()) - 1)
-    return numbered.withColumn("_at", F.bround(at) if half == "even" else F.round(at)).where("_i = _at").select(F.col(column).alias("value"))
+    rows = df.where(F.col(column).isNotNull()).select(column)
+    at = p * (rows.count() - 1)
+    return dense_index(rows, column, "_i").where(F.col("_i") == (round(at) if half == "even" else int(at + 0.5))).select(F.col(column).alias("value"))
 
 
 def drift(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -114,11 +114,16 @@ def build_corpus(
         centroids, cells = ivf_build(vectors)
         put(centroids, "ann_centroids")
         put(cells, "ann_cells")
+        centroids, cells = (spark.read.parquet(f"{temporary}/{t}") for t in ("ann_centroids", "ann_cells"))
     if p.bm25:
         for name, t in bm25_build(chunks).items():
             put(t, f"bm25_{name}")
     if with_graph:
-        neighbors = exact_search(vectors, vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query")), graph_top_m + 1) if graph_top_m else None
+        everyone, neighbors = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query")), None
+        if graph_top_m and p.ann:  # all rows ask, so cells keep the work in proportion to the rows
+            neighbors = ann_search(vectors, (centroids, cells), everyone, graph_top_m + 1)
+        elif graph_top_m:
+            neighbors = exact_search(vectors, everyone, graph_top_m + 1)
         put(build_graph(chunks.select("ordinal"), neighbors, top_m=graph_top_m), "edges")
     for name, df in (spaces or {}).items():
         put(df.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding")), f"space_vectors/space={name}")
