@@ -91,7 +91,7 @@ def look_alike_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     mapped = texts.withColumn("form", F.collate(visible_form(F.col("text")), "UNICODE"))
     classes = mapped.groupBy("form").agg(F.min("text").alias("canonical"), F.count("*").alias("texts")).where("texts > 1").select("form", "canonical")
     members = mapped.join(classes, "form").select("text", "canonical")
-    return candidates.select("key", "text").join(members, "text")
+    return materialize(candidates.select("key", "text").join(members, "text"), "look-alikes")
 
 
 def look_alike_pairs(classes: DataFrame) -> DataFrame:
