@@ -217,7 +217,7 @@ def _scorer(shared, dim: int, k: int, rerank: int):
     return run
 
 
-def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 5, codebooks: int = 8, beam: int = 4, rerank: int = 96, sample: int = 40_000, seed: int = 5) -> DataFrame:
+def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 5, codebooks: int = 10, beam: int = 4, rerank: int = 96, sample: int = 40_000, seed: int = 5) -> DataFrame:
     """(id, near): for each valid vector an array of its k nearest others, as (cosine, id) from best to worst.
 
     Approximate: each vector asks `beam` cells and scores `rerank` of a cell exactly; the returned cosines are exact. Vectors

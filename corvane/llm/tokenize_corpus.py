@@ -218,6 +218,19 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, vocabulary: str
     return base.mapInArrow(run, f"id {base.schema[0].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def decode_corpus(df: DataFrame, id_col: str, ids_col: str, *, vocabulary: str | None = None) -> DataFrame:
+    """(<id_col>, text): the inverse of encode_corpus; null and empty lists give the empty text, bytes that are no UTF-8 the replacement character."""
+    path = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = transducer(path).decode
+        for b in sub_batches(batches, 500):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+    base = df.select(column(df, id_col).alias("id"), column(df, ids_col).cast("array<int>").alias("ids"))
+    return base.mapInArrow(run, f"id {base.schema[0].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+
+
 def count_tokens(df: DataFrame, keep: list[str], text_col: str, *, vocabulary: str | None = None) -> DataFrame:
     """The columns `keep` and tokens: the number of ids of each row's text, 0 for null and empty ones."""
     path = vocabulary or default_vocabulary()

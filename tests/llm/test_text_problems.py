@@ -18,7 +18,7 @@ from corvane.llm.repetition import RULES, fit_label_model, repetition_measures,
 from corvane.llm.split_text import LEVELS, spans, split_texts
 from corvane.llm.term_frequency import term_frequencies
 from corvane.llm.term_weights import divergence, most_distinctive, saturated, weighted_terms
-from corvane.llm.tokenize_corpus import count_tokens, default_vocabulary, encode_corpus, transducer
+from corvane.llm.tokenize_corpus import count_tokens, decode_corpus, default_vocabulary, encode_corpus, transducer
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -295,6 +295,8 @@ def test_encode_corpus(spark, library):
     got = sorted(((r.doc_id, list(r.ids)) for r in encode_corpus(df, "doc_id", "text").collect()), key=str)
     assert got == sorted([(1, library(["Olá mundo"])[0])] * 2 + [(None, []), (3, [])], key=str)
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
+    back = decode_corpus(encode_corpus(df, "doc_id", "text"), "doc_id", "ids").collect()
+    assert sorted((str(r.doc_id), r.text) for r in back) == [("1", "Olá mundo"), ("1", "Olá mundo"), ("3", ""), ("None", "")]
     assert sorted(r.tokens for r in count_tokens(df, ["doc_id"], "text").collect()) == [0, 0, len(got[0][1]) or len(got[1][1]), len(got[0][1]) or len(got[1][1])]
 
 
