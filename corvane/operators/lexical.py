@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
 from ..functions.vectors import score_order
+from ..tables import materialize
 
 K1, B = 1.5, 0.75
 
@@ -14,11 +15,13 @@ K1, B = 1.5, 0.75
 def bm25_build(chunks: DataFrame, *, text_col: str = "canonical_text") -> dict[str, DataFrame]:
     """postings(term, ordinal, tf), terms(term, df), doc_stats(ordinal, dl), corpus(n_docs, avgdl).
 
-    Every chunk counts as a document, null and empty texts with length 0. Write or persist the tables: a search reads each of them.
+    Every chunk counts as a document, null and empty texts with length 0. Texts are read and cut into terms once: the postings
+    are written to the shared folder, and everything else follows from them and the ordinals.
     """
-    tokens = chunks.select("ordinal", lexical_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    postings = tokens.select("ordinal", F.explode("tokens").alias("term")).groupBy("term", "ordinal").agg(F.count("*").alias("tf"))
-    doc_stats = tokens.select("ordinal", F.size("tokens").cast("long").alias("dl"))
+    tokens = chunks.select("ordinal", F.explode(lexical_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    postings = materialize(tokens.groupBy("term", "ordinal").agg(F.count("*").alias("tf")), "postings")
+    lengths = postings.groupBy("ordinal").agg(F.sum("tf").alias("dl"))
+    doc_stats = chunks.select("ordinal").join(lengths, "ordinal", "left").select("ordinal", F.coalesce("dl", F.lit(0)).alias("dl"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     corpus = doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     return {"postings": postings, "terms": terms, "doc_stats": doc_stats, "corpus": corpus}

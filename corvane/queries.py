@@ -275,7 +275,7 @@ def build_item_rows(spark, d):
     return items.select("ordinal", "key", "canonical_text", "source_uri")
 
 
-@query("with n as (select count(*) n from part), i as (select unnest(range(0, 500)) i) select i ordinal, p_partkey from i, n join part on p_partkey - 1 = floor(i * (n / 500.0::double))::bigint")
+@query("with n as (select count(*) n, least(500, count(*)) k from part), i as (select unnest(range(0, 500)) i) select i ordinal, p_partkey from i, n join part on p_partkey - 1 = floor(i * (n / k::double))::bigint where i < k")
 def even_sample_rows(spark, d):
     return even_sample(_t(spark, d, "part").select((F.col("p_partkey") - 1).alias("ordinal"), "p_partkey"), 500)
 
