@@ -133,6 +133,35 @@ def changed_frames(frames: DataFrame, recorded: DataFrame) -> DataFrame:
     return recorded.join(frames.select("frame", F.sha2("data", 256).alias("_now")), "frame", "left").where("not (_now <=> sha256)").select("frame")
 
 
+def image_text(origin: str = "origin", label: str = "label", page: str | None = None) -> F.Column:
+    """What stands for an image as text: its origin, its page from 1 on, its label in brackets."""
+    base = F.concat(F.col(origin), F.when(F.col(page).isNotNull(), F.concat(F.lit(" page "), F.col(page) + 1)).otherwise("")) if page else F.col(origin)
+    return F.concat(base, F.coalesce(F.concat(F.lit(" ["), F.nullif(label, F.lit("")), F.lit("]")), F.lit("")))
+
+
+def quality_strata(images: DataFrame) -> DataFrame:
+    """Adds `stratum` from measures of each image: side, gradient variance, share of steep gradients, transparency, format.
+
+    images has longest_side, gradient_variance, steep_share, has_alpha and origin; measuring pixels is a plug-in.
+    """
+    side = F.when(F.col("longest_side") < 512, "small").when(F.col("longest_side") < 1024, "medium").otherwise("large")
+    detail = F.when(F.col("gradient_variance") < 100, "low").when(F.col("gradient_variance") < 1000, "mid").otherwise("high")
+    text = F.when(F.col("steep_share") > 0.1, "text").otherwise("plain")
+    kind = F.lower(F.regexp_extract("origin", r"\.([^./]+)$", 1))
+    return images.withColumn("stratum", F.concat_ws("/", side, detail, text, F.when(F.col("has_alpha"), "alpha").otherwise("opaque"), kind))
+
+
+def keyframe_policy(probe: DataFrame, *, tolerance: float = 2.0) -> DataFrame:
+    """(decision, intra_bytes, inter_bytes): inter if it is smaller and its mean quality is at most `tolerance` lower; else intra.
+
+    probe is (arm, bytes, quality) of sample items encoded both ways; without measured qualities the bytes decide.
+    """
+    of = lambda arm, c: F.when(F.col("arm") == arm, F.col(c))
+    sums = probe.agg(F.sum(of("intra", "bytes")).alias("intra_bytes"), F.sum(of("inter", "bytes")).alias("inter_bytes"), (F.avg(of("intra", "quality")) - F.avg(of("inter", "quality"))).alias("_drop"))
+    inter = (F.col("inter_bytes") < F.col("intra_bytes")) & (F.coalesce("_drop", F.lit(0.0)) <= tolerance)
+    return sums.select(F.when(inter, "inter").otherwise("intra").alias("decision"), "intra_bytes", "inter_bytes")
+
+
 def gate_labels(rows: DataFrame) -> DataFrame:
     """(ordinal, gate_label): the label, or the text where it is empty."""
     return rows.select("ordinal", F.coalesce(F.nullif("label", F.lit("")), F.col("canonical_text")).alias("gate_label"))

@@ -12,6 +12,7 @@ from ..functions.embed import create_embedder, embed_missing, model_hash
 from ..functions.identity import canonical_json, chunk_id, corpus_input_hash
 from ..functions.text import chunk_windows
 from ..operators.dedup import dense_index
+from ..operators.media import image_text
 from ..sources import loaders
 from ..sources.spec import CorpusSpec
 from .corpus import Corpus, build_corpus, write_text
@@ -24,8 +25,7 @@ def load_items(spark: SparkSession, spec: CorpusSpec, sample: int | None = None)
     if s.kind == "image_dir":
         labels = loaders.read_labels(spark, s.labels) if s.labels else None
         images = loaders.read_images(spark, s.input_dir, labels)
-        text = F.concat_ws(" ", F.col("origin"), F.nullif("label", F.lit("")))
-        items = loaders.build_items(images.withColumn("_text", text).withColumnRenamed("ordinal", "_n"), spec.name, order_by=["origin"], text_template="{_text}", label_template="{label}", image_hash="image_sha256", chunker_version=spec.chunker_version)
+        items = loaders.build_items(images.withColumn("_text", image_text()).withColumnRenamed("ordinal", "_n"), spec.name, order_by=["origin"], text_template="{_text}", label_template="{label}", image_hash="image_sha256", chunker_version=spec.chunker_version)
     else:
         if s.kind == "sql":
             raw = loaders.read_query(spark, s.query, s.tables)

@@ -40,7 +40,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if app not in _written:
         atexit.register(release, spark)
     _written.setdefault(app, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that materialize() returned and that nothing will read any more; other DataFrames are left alone."""
+    path = getattr(df, "_materialized_at", None)
+    written = _written.get(df.sparkSession.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,7 +64,6 @@ def release(spark: SparkSession) -> None:
     try:
         sc = spark.sparkContext
         for path in _written.pop(sc.applicationId, []):
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
     except Exception:  # the JVM may already be gone
         pass

@@ -390,6 +390,11 @@ def test_media_tables(spark):
     assert media.canvas_size(sizes, 640) == (640, 480)
     with pytest.raises(NotIndexed):
         media.encode_media("av1", frames)
+    images = spark.createDataFrame([("a.PNG", "", None, 400, 50.0, 0.2, True), ("b.jpg", "L", 0, 2000, 5000.0, 0.0, False)], "origin string, label string, page long, longest_side int, gradient_variance double, steep_share double, has_alpha boolean")
+    assert [r[0] for r in images.select(media.image_text(page="page")).collect()] == ["a.PNG", "b.jpg page 1 [L]"]
+    assert [r.stratum for r in media.quality_strata(images).collect()] == ["small/low/text/alpha/png", "large/high/plain/opaque/jpg"]
+    probe = lambda q: spark.createDataFrame([("intra", 10, 80.0), ("inter", 7, q)], "arm string, bytes long, quality double")
+    assert [media.keyframe_policy(probe(q)).first().decision for q in (79.0, 70.0, None)] == ["inter", "intra", "inter"]
     order = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "position long, ordinal long")
     assert {r.ordinal: r.position for r in media.inverse_permutation(order).collect()} == {2: 0, 0: 1, 1: 2}
     assert media.utility_threshold(0.5, 0.8, 0.1) == pytest.approx(0.7)
