@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, release, work_dir
+from ..tables import discard, materialize, release, work_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "WordHasher", "checked_semi", "column", "list_array", "materialize", "mix64", "release", "sub_batches", "windows_of", "work_dir"]
+__all__ = ["BROADCAST_ROWS", "WORD", "WordHasher", "checked_semi", "column", "discard", "list_array", "materialize", "mix64", "release", "sub_batches", "windows_of", "work_dir"]
 
 #: A maximal run of letters and digits (categories L and N): what str.isalnum() accepts, without the underscore.
 WORD = re.compile(r"[^\W_]+")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, discard, materialize
 
 #: Vectors that an average cell holds, the most codewords of one routing codebook, and codewords of the others.
 CELL, ROUTES, WORDS = 150, 1024, 256
@@ -223,7 +223,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: in
     Approximate: each vector asks `beam` cells and scores `rerank` of a cell exactly; the returned cosines are exact. Vectors
     that unit_vectors() leaves out take no part; with n of them left each gets min(k, n - 1) neighbours at most, a single one the empty array.
     Ids must be unique; equal vectors are neighbours with cosine 1; at ties the smaller id comes first. The codebooks
-    are fitted on the `sample` vectors whose ids hash lowest.
+    are fitted on at most `sample` vectors, drawn by a hash of their ids.
     """
     vectors = materialize(unit_vectors(df, id_col, vec_col, dim), "unit-vectors")
     # Copies of a vector are searched once: its k + 1 smallest ids stand for all of them, however many there are.
@@ -252,7 +252,9 @@ def _search(vectors: DataFrame, *, dim: int, k: int, codebooks: int, beam: int,
     spark, rows = vectors.sparkSession, vectors.count()
     if not rows:
         return spark.createDataFrame([], "id long, near array<struct<cosine: double, id: bigint>>")
-    drawn = vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    # a cut on the hash first: only a little more than the sample is sorted
+    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, 1.1 * sample / rows) * (1 << 30))
+    drawn = vectors.where(share).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     quantizer = spark.sparkContext.broadcast(fit(_matrix(drawn, dim), rows, codebooks=codebooks, beam=beam, seed=seed))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +267,7 @@ def _search(vectors: DataFrame, *, dim: int, k: int, codebooks: int, beam: int,
                 yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(norm.astype(np.float32)), pa.array(list(cells), pa.list_(pa.int64()))], ["id", "v", "codes", "norm", "cells"])
 
     encoded = materialize(vectors.mapInArrow(encode, "id long, v binary, codes binary, norm float, cells array<long>"), "encoded")
+    discard(vectors)  # its columns are in the encoded table; a table with copies is a join, and stays
     # Cells of more than BLOCK vectors are at most rows / BLOCK, so the list of them is short.
     hot = {r[0]: -(-r[1] // BLOCK) for r in encoded.groupBy(F.col("cells")[0].alias("cell")).count().where(F.col("count") > BLOCK).collect()}
     blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("cell")], F.lit(1)) if hot else F.lit(1)
