@@ -21,6 +21,8 @@ from .lexical import bm25_search
 
 #: Queries of one block: their vectors are held by every scoring task (4 bytes a number: 8 MB at 512 dimensions).
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once, about: 32 MB, and twice that for their order.
+SCORE_ROOM = 4_000_000
 
 
 def check_query(vector: list[float], k: int, dim: int) -> list[float]:
@@ -95,9 +97,10 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
 def _matmul(shared, k: int, normalized: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
+        step = max(256, min(16_384, SCORE_ROOM // max(len(qids), 1)))
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 b = b.filter(b.column("embedding").is_valid())
                 if not b.num_rows:
                     continue

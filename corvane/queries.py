@@ -82,10 +82,10 @@ def exact_topk(spark, d):
     return exact_search(_vectors(spark, d), _queries(spark, d), 10).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
-@query(f"with {_V}, s as (select q.vec_id qid, v.vec_id ordinal, round({_DOT} / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) score, row_number() over (partition by q.vec_id order by {_DOT} / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))) desc, v.vec_id) rank from q, v where v.label % 2 = 0) select qid, rank::int rank, ordinal, score from s where rank <= 5")
+@query(f"with {_V}, s as (select q.vec_id qid, v.vec_id ordinal, round({_DOT} / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 6) score, row_number() over (partition by q.vec_id order by {_DOT} / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))) desc, v.vec_id) rank from q, v where v.label < 5) select qid, rank::int rank, ordinal, score from s where rank <= 5")
 def exact_topk_filtered(spark, d):
     """The filter on labels comes before scoring and reaches the scan."""
-    kept = _t(spark, d, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("ordinal"), "embedding")
+    kept = _t(spark, d, "embeddings").where("label < 5").select(F.col("vec_id").alias("ordinal"), "embedding")
     return exact_search(kept, _queries(spark, d), 5).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
@@ -275,9 +275,9 @@ def build_item_rows(spark, d):
     return items.select("ordinal", "key", "canonical_text", "source_uri")
 
 
-@query("with n as (select count(*) n, least(500, count(*)) k from part), i as (select unnest(range(0, 500)) i) select i ordinal, p_partkey from i, n join part on p_partkey - 1 = floor(i * (n / k::double))::bigint where i < k")
+@query("with n as (select count(*) n, least(500, count(*)) k from part), i as (select unnest(range(0, 500)) i) select i ordinal, p_partkey from i, n join part on p_partkey = floor(i * (n / k::double))::bigint where i < k")
 def even_sample_rows(spark, d):
-    return even_sample(_t(spark, d, "part").select((F.col("p_partkey") - 1).alias("ordinal"), "p_partkey"), 500)
+    return even_sample(_t(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), "p_partkey"), 500)
 
 
 @query("select ordinal, coalesce((select string_agg(coalesce(b.canonical_text, ''), ' ' order by b.ordinal) from chunks b where b.ordinal between a.ordinal - 1 and a.ordinal + 1), '') context from chunks a")
@@ -525,7 +525,7 @@ def bootstrap_by_class(spark, d):
 
 @query()
 def lexical_embedding(spark, d):
-    return _t(spark, d, "nation").select("n_nationkey", embed_column("n_name", LexicalEmbedder(64)).alias("embedding"))
+    return _t(spark, d, "documents").select("doc_id", embed_column("title", LexicalEmbedder(64)).alias("embedding"))
 
 
 # source queries: Spark's SQL surface as a source of a build

@@ -35,6 +35,15 @@ def test_query(spark, small, duck, name):
         assert got.num_rows > 0
 
 
+def test_filters_and_columns_reach_the_scan(spark, small):
+    plan = core.QUERIES["exact_topk_filtered"](spark, small)._jdf.queryExecution().toString()
+    scan = next(line for line in plan.split("== Physical Plan ==")[1].splitlines() if "FileScan" in line)
+    assert "LessThan(label,5)" in scan and "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in scan.replace("label:bigint", "label:int")
+    assert "WindowGroupLimit" in plan
+    pricing = core.QUERIES["q_pricing"](spark, small)._jdf.queryExecution().toString()
+    assert "l_comment" not in pricing and "PushedFilters: [IsNotNull(l_shipdate)" in pricing
+
+
 def test_entry(spark, small):
     import __spark_entry__ as e
 
