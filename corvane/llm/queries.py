@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .formatting_duplicates import formatting_duplicates
-from .look_alikes import BLANKS, INVISIBLE, LIGATURES, _rules, look_alike_classes, look_alike_pairs
+from .look_alikes import INVISIBLE, LIGATURES, _rules, look_alike_classes, look_alike_pairs
 from .mixing import mix_sources
 from .near_duplicates import expand_pairs, near_duplicates
 from .nearest_vectors import nearest_vectors
@@ -209,4 +209,3 @@ with t as (select doc_id, {_words("text")} w from documents where text is not nu
 s as (select doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) x from t where len(w) >= 5)
 select doc_id from s group by 1 having count(*) >= 20 and (count(*) - count(distinct x)) / count(*) >= 0.3""",
 }
-del BLANKS

@@ -1,7 +1,6 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing column names."""
 
 import re
-import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -365,7 +364,3 @@ def test_label_model_recovers_accuracies():
     for a, bad, good in zip(right, m.says_bad_if_bad, m.says_bad_if_good, strict=True):
         assert bad == pytest.approx(a, abs=0.05) and good == pytest.approx(1 - a, abs=0.05)
     assert fit_label_model({}).prior == 0.5 and len(fit_label_model({}).says_bad_if_bad) == len(RULES)
-
-
-def test_normal_forms_of_unicode():
-    assert unicodedata.normalize("NFC", "é") == "é"
