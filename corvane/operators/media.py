@@ -47,6 +47,14 @@ def blob_bytes(blobs: DataFrame, index: int) -> bytes:
     return bytes(row.data)
 
 
+def blob_by_uri(blobs: DataFrame, uri: str) -> bytes:
+    """The stored bytes of the blob of a URI, the first one where several share it; a #frame fragment is ignored."""
+    row = blobs.where(F.col("original_uri") == uri.split("#")[0]).agg(F.min("blob_index")).first()
+    if row[0] is None:
+        raise NotIndexed(f"there is no blob {uri}")
+    return blob_bytes(blobs, row[0])
+
+
 def export_blobs(blobs: DataFrame, folder: str) -> int:
     """Write inlined blobs to a folder that all executors share, under safe names, after proving their hashes. Returns how many."""
     bad = broken_blobs(blobs).limit(1).collect()

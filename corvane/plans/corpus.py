@@ -269,6 +269,16 @@ class Corpus:
             return self._run(routes[0], queries, k, candidates)
         return self._run(routes[0], queries.where(with_text), k, candidates).unionByName(self._run(routes[1], queries.where(~with_text), k, candidates))
 
+    def search_by(self, mode: str, queries: DataFrame, k: int, **settings) -> DataFrame:
+        """Hits with texts in a named mode: exact, ann, graph, hybrid, routed or space (which needs name)."""
+        verbs = {"exact": self.search, "ann": self.search_ann, "graph": self.search_graph, "hybrid": self.search_hybrid, "routed": self.search_routed}
+        if mode == "space":
+            return self.hits(self.search_space(settings.pop("name"), queries, k, **settings), "space", text=True)
+        if mode not in verbs:
+            raise NotIndexed(f"unknown mode {mode!r}; known: {sorted([*verbs, 'space'])}")
+        route = self.route("text" in queries.columns) if mode == "routed" else {"ann": "hnsw"}.get(mode, mode)
+        return self.hits(verbs[mode](queries, k, **settings), route, text=True)
+
     def _run(self, route: str, queries: DataFrame, k: int, candidates: int) -> DataFrame:
         return self.search_hybrid(queries, k, candidates) if route == "hybrid" else self.search_ann(queries, k, candidates) if route == "hnsw" else self.search(queries, k)
 

@@ -139,6 +139,10 @@ def rows_of(spark, dim=64, n=40):
     return e, spark.createDataFrame([(i, t, f"item://{i}", 0, len(t), [float(x) for x in v]) for i, (t, v) in enumerate(zip(texts, e.embed(texts), strict=True))], "ordinal long, canonical_text string, source_uri string, byte_start long, byte_end long, embedding array<float>")
 
 
+def queries_like(spark, rows):
+    return rows.where("ordinal = 3").select(F.lit(0).cast("long").alias("qid"), F.col("embedding").alias("query"))
+
+
 def about(e, **more):
     return {"embedding_model": e.model, "embedding_dim": e.dim, "model_hash": model_hash(e), "chunker_version": "v1"} | more
 
@@ -213,6 +217,13 @@ def test_spaces_blobs_and_tampering(spark, tmp_path):
     assert c.blob(0) == data and c.chunks.where("ordinal = 2").first().source_uri == "media://a.bin" and c.inspect()["blob_totals"]["bytes"] == 8
     with pytest.raises(NotIndexed):
         c.blob(4)
+    assert media.blob_by_uri(c.blobs, "media://a.bin#frame=1") == data
+    with pytest.raises(NotIndexed):
+        media.blob_by_uri(c.blobs, "media://b.bin")
+    assert c.search_by("exact", queries_like(spark, rows), 1).first().text == c.search_by("routed", queries_like(spark, rows), 1).first().text == "doc 3 alpha beta term3 shared3"
+    assert c.search_by("space", q, 1, name="image").first().ordinal == 5
+    with pytest.raises(NotIndexed):
+        c.search_by("magic", q, 1)
     assert media.export_blobs(c.blobs, str(tmp_path / "out")) == 1 and (tmp_path / "out" / "000000-a.bin").read_bytes() == data
     with pytest.raises(ValidationError):
         media.export_blobs(blobs.withColumn("content_hash", F.lit("0")), str(tmp_path / "out2"))
