@@ -1,7 +1,9 @@
 """Approximate candidates by inverted cells, in place of a sequentially built graph index.
 
 Centroids are fitted by Spark's k-means on unit vectors. A query takes cells in the order of its centroid products
-until they hold at least `beam` members; those members are the candidates, and the exact rerank scores them.
+until they hold at least `beam` members; those members are the candidates, and the exact rerank scores them. The beam
+follows from a recall measured against the exact search on a bounded sample of queries, so it grows with the table as far
+as the vectors need it.
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalize
-from .search import rerank
+from .search import exact_search, rerank
 
 #: Rows the centroids are fitted on, at most.
 FIT_ROWS = 200_000
 #: Cells, at most: their centroids are broadcast (4096 of 1024 dimensions: 32 MB).
 MAX_CELLS = 4096
+#: Recall that the beam must reach on the sampled queries, and how many are sampled at most.
+RECALL, SAMPLE = 0.95, 256
 
 
 def ivf_build(vectors: DataFrame, *, cells: int | None = None, seed: int = 42, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -36,16 +40,36 @@ def ivf_build(vectors: DataFrame, *, cells: int | None = None, seed: int = 42, r
     return centers.join(sizes, "cell").select("cell", "centroid", "members"), assigned
 
 
-def ivf_candidates(index: tuple[DataFrame, DataFrame], queries: DataFrame, beam: int) -> DataFrame:
-    """(qid, ordinal): members of each query's nearest cells, at least `beam` of them if there are as many."""
-    centroids, assigned = index
+def _ranked(centroids: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, cell, had): had counts the members of the cells that a query takes before this one."""
     q = queries.select("qid", l2_normalize("query").alias("_q"))
     scored = q.crossJoin(F.broadcast(centroids)).select("qid", "cell", "members", dot("centroid", "_q").alias("near"))  # at most MAX_CELLS centroids
     before = Window.partitionBy("qid").orderBy(F.desc("near"), "cell").rowsBetween(Window.unboundedPreceding, -1)
-    taken = scored.withColumn("had", F.coalesce(F.sum("members").over(before), F.lit(0))).where(F.col("had") < beam)
+    return scored.select("qid", "cell", F.coalesce(F.sum("members").over(before), F.lit(0)).alias("had"))
+
+
+def ivf_candidates(index: tuple[DataFrame, DataFrame], queries: DataFrame, beam: int) -> DataFrame:
+    """(qid, ordinal): members of each query's nearest cells, at least `beam` of them if there are as many."""
+    centroids, assigned = index
+    taken = _ranked(centroids, queries).where(F.col("had") < beam)
     return taken.select("qid", "cell").join(assigned, "cell").select("qid", "ordinal")
 
 
-def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 100, floor: int = 400) -> DataFrame:
-    """Candidates of at least max(ef, k, floor) per query, reranked exactly."""
-    return rerank(vectors, queries, ivf_candidates(index, queries, max(ef, k, floor)), k)
+def ivf_beam(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, recall: float = RECALL, sample: int = SAMPLE, own: bool = False) -> int:
+    """The least beam whose candidates hold `recall` of the exact best k of the sampled queries, drawn by a hash of their ids.
+
+    `own` says that a qid is the ordinal of the same vector, which then doesn't count as a neighbour of itself.
+    """
+    centroids, assigned = index
+    drawn = queries.select("qid", "query").orderBy(F.xxhash64("qid"), "qid").limit(sample)
+    truth = exact_search(vectors, drawn, k + own).where(F.col("ordinal") != F.col("qid") if own else F.lit(True)).select("qid", "ordinal")
+    reached = truth.join(assigned, "ordinal").join(_ranked(centroids, drawn), ["qid", "cell"])
+    had = reached.agg(F.expr(f"percentile_disc({recall}D) within group (order by had)")).first()[0]
+    return 0 if had is None else int(had) + 1
+
+
+def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 100, floor: int = 400, beam: int | None = None) -> DataFrame:
+    """Candidates of at least max(ef, k, floor, beam) per query, reranked exactly. Without a beam it is measured on these queries."""
+    if beam is None:
+        beam = ivf_beam(vectors, index, queries, k)
+    return rerank(vectors, queries, ivf_candidates(index, queries, max(ef, k, floor, beam)), k)
