@@ -22,6 +22,8 @@ from .search import exact_search, rerank
 FIT_ROWS = 200_000
 #: Cells, at most: their centroids are broadcast (4096 of 1024 dimensions: 32 MB).
 MAX_CELLS = 4096
+#: Candidates of a query, at least.
+FLOOR = 400
 #: Recall that the beam must reach on the sampled queries, and how many are sampled at most.
 RECALL, SAMPLE = 0.95, 256
 
@@ -68,7 +70,7 @@ def ivf_beam(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: Da
     return 0 if had is None else int(had) + 1
 
 
-def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 100, floor: int = 400, beam: int | None = None) -> DataFrame:
+def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 100, floor: int = FLOOR, beam: int | None = None) -> DataFrame:
     """Candidates of at least max(ef, k, floor, beam) per query, reranked exactly. Without a beam it is measured on these queries."""
     if beam is None:
         beam = ivf_beam(vectors, index, queries, k)

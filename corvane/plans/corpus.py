@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..errors import CitationError, ManifestError, NotIndexed, ValidationError
 from ..functions.identity import chunk_id, content_hash, table_digest
 from ..functions.vectors import all_finite, decode_float16, dequantize_int4, dequantize_int8, encode_float16, quantize_int4, quantize_int8, truncate_renormalize
-from ..operators.ann import ann_search, ivf_build, ivf_candidates
+from ..operators.ann import FLOOR, ann_search, ivf_beam, ivf_build, ivf_candidates
 from ..operators.graph import build_graph, check_graph
 from ..operators.lexical import bm25_build, invalid_postings
 from ..operators.media import blob_bytes, blob_totals, broken_blobs, span_overlay
@@ -23,6 +23,8 @@ from .manifest import PLACEHOLDER, Capabilities, Manifest, check_model
 from .presets import PRESETS
 
 SCHEME = "corpus://"
+#: Numbers of hits for which a build measures the beam; for more, the queries of the call measure it.
+BEAM_KS = (10, 100)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -115,13 +117,16 @@ def build_corpus(
         put(centroids, "ann_centroids")
         put(cells, "ann_cells")
         centroids, cells = (spark.read.parquet(f"{temporary}/{t}") for t in ("ann_centroids", "ann_cells"))
+        everyone = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query"))
+        put(spark.createDataFrame([(k, ivf_beam(vectors, (centroids, cells), everyone, k, own=True)) for k in BEAM_KS], "k int, beam long"), "ann_beams")
     if p.bm25:
         for name, t in bm25_build(chunks).items():
             put(t, f"bm25_{name}")
     if with_graph:
         everyone, neighbors = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query")), None
         if graph_top_m and p.ann:  # all rows ask, so cells keep the work in proportion to the rows
-            neighbors = ann_search(vectors, (centroids, cells), everyone, graph_top_m + 1)
+            beam = ivf_beam(vectors, (centroids, cells), everyone, graph_top_m, own=True)
+            neighbors = ann_search(vectors, (centroids, cells), everyone, graph_top_m + 1, beam=beam)
         elif graph_top_m:
             neighbors = exact_search(vectors, everyone, graph_top_m + 1)
         put(build_graph(chunks.select("ordinal"), neighbors, top_m=graph_top_m), "edges")
@@ -131,7 +136,7 @@ def build_corpus(
         put(blobs, "blobs")
         if blob_spans is not None:
             put(blob_spans, "blob_spans")
-    names = ["chunks", "vectors"] + ["ann_centroids", "ann_cells"] * p.ann + [f"bm25_{t}" for t in ("postings", "terms", "doc_stats", "corpus")] * p.bm25 + ["edges"] * with_graph
+    names = ["chunks", "vectors"] + ["ann_centroids", "ann_cells", "ann_beams"] * p.ann + [f"bm25_{t}" for t in ("postings", "terms", "doc_stats", "corpus")] * p.bm25 + ["edges"] * with_graph
     tables = {t: table_digest(spark.read.parquet(f"{temporary}/{t}")) for t in ("chunks", "vectors")}
     exact = spark.read.parquet(f"{temporary}/vectors")
     content = exact.select("ordinal", F.col("embedding_fp").alias("embedding")) if full else vectors
@@ -215,6 +220,15 @@ class Corpus:
     def ann(self) -> tuple[DataFrame, DataFrame] | None:
         return (self._table("ann_centroids"), self._table("ann_cells")) if self.manifest.capabilities.ann else None
 
+    @cached_property
+    def _beams(self) -> dict[int, int]:
+        return {r.k: r.beam for r in self._table("ann_beams").collect()} if self._has("ann_beams") else {}
+
+    def _beam(self, queries: DataFrame, k: int) -> int:
+        """The beam measured by the build for at least k hits, else by these queries."""
+        measured = [k_ for k_ in sorted(self._beams) if k_ >= k]
+        return self._beams[measured[0]] if measured else ivf_beam(self.vectors, self.ann, queries, k)
+
     @property
     def space_names(self) -> list[str]:
         return sorted(self.manifest.extra.get("spaces", {}))
@@ -234,7 +248,7 @@ class Corpus:
         return exact_search(self.vectors, queries, k)
 
     def search_ann(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
-        return ann_search(self.vectors, self.ann, queries, k, ef=ef) if self.ann else self.search(queries, k)
+        return ann_search(self.vectors, self.ann, queries, k, ef=ef, beam=self._beam(queries, k)) if self.ann else self.search(queries, k)
 
     def search_graph(self, queries: DataFrame, k: int, *, hops: int = 1, ef: int = 100) -> DataFrame:
         if not self.manifest.capabilities.graph:
@@ -242,7 +256,7 @@ class Corpus:
         return graph_search(self.vectors, self.edges, queries, k, hops=hops, ef=ef)
 
     def search_hybrid(self, queries: DataFrame, k: int, candidates: int = 64) -> DataFrame:
-        ann = (lambda q, width: ivf_candidates(self.ann, q, width)) if self.ann else None
+        ann = (lambda q, width: ivf_candidates(self.ann, q, max(width, FLOOR, self._beam(q, k)))) if self.ann else None
         return hybrid_search(self.vectors, queries, queries.select("qid", "text"), self.bm25, k, candidates=candidates, ann=ann)
 
     def search_space(self, name: str, queries: DataFrame, k: int, *, model_hash: str | None = None) -> DataFrame:

@@ -169,6 +169,28 @@ def test_corpus_of_each_preset(spark, tmp_path, preset):
         c.cite(f"corpus://{c.manifest.content_hash}/sha256:none")
 
 
+def test_semantic_edges_and_hybrid_hits_of_vectors_without_clusters(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, f"text {i}", f"item://{i}", 0, 6, [float(v) for v in r]) for i, r in enumerate(x)], "ordinal long, canonical_text string, source_uri string, byte_start long, byte_end long, embedding array<float>")
+    c = build_corpus(rows, str(tmp_path / "c"), with_graph=True, graph_top_m=4, embedding_model="m", embedding_dim=32, model_hash="sha256:" + "1" * 64, chunker_version="v1")
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    truth = np.argsort(-s, axis=1)
+    edges = {}
+    for r in c.edges.where("edge_type = 1").collect():
+        edges.setdefault(r.src, set()).add(r.dst)
+    recall = np.mean([len(edges[i] & set(truth[i, :4])) / 4 for i in range(1500)])
+    asked = range(0, 1500, 30)
+    q = spark.createDataFrame([(i, [float(v) for v in x[i]], "nothing") for i in asked], "qid long, query array<double>, text string")
+    hits = {i: set() for i in asked}
+    for r in c.search_hybrid(q, 10).collect():
+        hits[r.qid].add(r.ordinal)
+    hybrid = np.mean([len(hits[i] & {i, *truth[i, :9]}) / 10 for i in asked])
+    print(f"semantic edges {recall:.4f}, hybrid recall@10 {hybrid:.4f}")
+    assert recall >= 0.9 and hybrid >= 0.9
+
+
 def test_content_hash_ignores_indexes_and_partitions_but_not_content(spark, tmp_path):
     e, rows = rows_of(spark, n=12)
     a = build_corpus(rows, str(tmp_path / "a"), preset="exact", **about(e))
