@@ -2,9 +2,11 @@
 
 A vector is approximated by a sum of one codeword from each of several full-dimensional codebooks, chosen by
 beam search; the norm of the sum is stored with the codes. The first codebooks also route: their codewords
-are cells, a vector is stored in the best cell that beam search found and asks the best few. Inside a cell the
-scores of all stored codes come from a lookup table of query-codeword products and the stored norms; the best
-of them are scored again exactly, on the vectors themselves.
+are cells, a vector is stored in the best cell that beam search found and asks the best few, and further ones that are
+hardly worse than its best: how much worse is fitted, by the crowding of the cells around a vector, to a recall
+measured by brute force on a sample. Inside a cell the scores of all stored codes come from a lookup table of
+query-codeword products and the stored norms; the best of them are scored again exactly, on the vectors themselves,
+and so are all where the codes can't tell the best apart.
 
 Codebooks are fitted on a bounded sample; every vector is encoded, stored and asked.
 """
@@ -25,6 +27,8 @@ from .common import column, discard, materialize
 CELL, ROUTES, WORDS = 150, 1024, 256
 #: A cell with more stored vectors is cut into blocks of about this size, each a group of its own.
 BLOCK = 4096
+#: Vectors whose neighbours are found by brute force to fit the asked cells, in how many groups by crowding, and the part of the true neighbours that the asked cells of each group must hold.
+TRIED, CROWDS, RECALL = 1024, 8, 0.95
 
 
 @dataclass
@@ -42,7 +46,7 @@ class Quantizer:
         self.square = np.diag(self.cross).copy()
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, norm of the decoded vector, cells from best to worst; -1 where there are fewer)."""
+        """(codes, norm of the decoded vector, best cell)."""
         rows = len(x)
         dots = x @ self.all.T
         codes = np.zeros((rows, 1, 0), np.int64)  # rows, beam, codebooks so far; as indices into all codewords
@@ -63,12 +67,33 @@ class Quantizer:
             parent, word = best // len(book), best % len(book) + lo
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None]], 2)
             if m == self.routing - 1:
-                cells = np.zeros(codes.shape[:2], np.int64)
-                for j in range(self.routing):
-                    cells = cells * len(self.books[j]) + codes[:, :, j] - self.offset[j]
+                cells = self._cell(codes[:, 0])
         codes = codes[:, 0]
         return codes, np.linalg.norm(sum(self.all[codes[:, j]] for j in range(codes.shape[1])), axis=1), cells
 
+    def _cell(self, codes: np.ndarray) -> np.ndarray:
+        cells = np.zeros(codes.shape[:-1], np.int64)
+        for j in range(self.routing):
+            cells = cells * len(self.books[j]) + codes[..., j] - self.offset[j]
+        return cells
+
+    def route(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, squared distances to their codewords' sums) in no order: all cells of one routing codebook, of several the best `width` that beam search finds."""
+        codes = np.zeros((len(x), 1, 0), np.int64)
+        cost = np.full((len(x), 1), 1.0)  # of unit vectors
+        for m in range(self.routing):
+            lo, hi = self.offset[m], self.offset[m + 1]
+            if m and codes.shape[1] > width:
+                best = np.argpartition(cost, width - 1, axis=1)[:, :width]
+                codes, cost = np.take_along_axis(codes, best[:, :, None], 1), np.take_along_axis(cost, best, 1)
+            step = (self.square[lo:hi] - 2 * (x @ self.all[lo:hi].T))[:, None]
+            for j in range(m):
+                step = step + 2 * self.cross[codes[:, :, j], lo:hi]
+            cost = (cost[:, :, None] + step).reshape(len(x), -1)
+            word = np.broadcast_to(np.arange(lo, hi), (len(x), codes.shape[1], hi - lo)).reshape(len(x), -1, 1)
+            codes = np.concatenate([np.repeat(codes, hi - lo, 1), word], 2)
+        return self._cell(codes), np.maximum(cost, 1e-6)
+
     def refit(self, x: np.ndarray, ridge: float = 1.0) -> "Quantizer":
         """All codebooks but the routing ones at once, by least squares on the codes of x; cells stay where they are."""
         codes = np.concatenate([self.encode(x[i : i + 1024])[0] for i in range(0, len(x), 1024)])
@@ -132,6 +157,57 @@ def fit(sample: np.ndarray, rows: int, *, codebooks: int, beam: int, seed: int)
     return Quantizer(books, routing, beam).refit(sample)
 
 
+@dataclass
+class Reach:
+    """The cells a vector asks: the nearest `least`, and those within a multiple of its smallest squared distance. The multiple
+    depends on how crowded the cells are: on the distance of the last of `least`, in multiples of the smallest."""
+
+    least: int
+    width: int
+    crowding: np.ndarray
+    multiple: np.ndarray
+
+    def near(self, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest distance, distance of the last of `least` cells)."""
+        last = min(self.least, far.shape[1]) - 1
+        part = np.partition(far, (0, last) if last else 0, axis=1)
+        return part[:, 0], part[:, last]
+
+    def limit(self, far: np.ndarray) -> np.ndarray:
+        first, last = self.near(far)
+        return np.maximum(last, first * self.multiple[np.searchsorted(self.crowding, last / first)])
+
+
+def fit_reach(q: Quantizer, x: np.ndarray, cells: np.ndarray, least: int) -> Reach:
+    """cells: those that hold the true neighbours of each row of x; -1 where there are fewer."""
+    width = least if q.routing > 1 else 0
+    where, far = _distances(q, x, cells, width)
+    reach = Reach(least, width, np.zeros(0), np.ones(1))
+    first, last = reach.near(far)
+    crowd = last / first
+    reach.crowding = np.quantile(crowd, np.arange(1, CROWDS) / CROWDS) if len(x) >= 50 * CROWDS else np.zeros(0)
+    group = np.searchsorted(reach.crowding, crowd)
+    multiple = np.ones(len(reach.crowding) + 1)
+    for g in range(len(multiple)):
+        need = np.where(where <= last[:, None], 1.0, where / first[:, None])[(group == g)[:, None] & (cells >= 0)]
+        need = need[np.isfinite(need)]
+        if len(need):
+            multiple[g] = np.quantile(need, RECALL, method="higher") * (1 + 1e-5)
+    reach.multiple = multiple
+    return reach
+
+
+def _distances(q: Quantizer, x: np.ndarray, cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance of each row of x to its given cells, infinite where they aren't found; distances to all found cells)."""
+    where, all_far = [], []
+    for i in range(0, len(x), 64):
+        found, far = q.route(x[i : i + 64], width)
+        same = found[:, None, :] == cells[i : i + 64, :, None]
+        where.append(np.where(same, far[:, None, :], np.inf).min(2))
+        all_far.append(far)
+    return np.concatenate(where), np.concatenate(all_far)
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(id, v): valid vectors scaled to length 1, as little-endian float32. Null ids, wrong lengths, null or non-finite members and zero vectors give no row."""
     base = df.select(column(df, id_col).cast("long").alias("id"), column(df, vec_col).cast("array<float>").alias("v")).where(f"id is not null and size(v) = {dim}")
@@ -172,6 +248,17 @@ class _Cell:
         r = min(rerank, len(self.ids))
         best = np.argpartition(approx, -r, axis=1)[:, -r:] if r < len(self.ids) else np.broadcast_to(np.arange(r), (len(x), r))
         exact, near = np.einsum("qrd,qd->qr", self.x[best], x).astype(np.float64), self.ids[best]
+        if k < r < len(self.ids):
+            # the largest error seen among the scored ones: rows where more than `rerank` could still be among the best k are scored whole
+            seen = np.where(near == ids[:, None], -np.inf, exact)
+            error = np.where(np.isfinite(seen), exact - np.take_along_axis(approx, best, 1), 0).max(1)
+            kth = np.partition(seen, r - k, axis=1)[:, r - k]
+            whole = np.flatnonzero((approx > (kth - error)[:, None]).sum(1) > r)
+            if len(whole):
+                score = x[whole] @ self.x.T
+                score[ids[whole, None] == self.ids[None, :]] = -np.inf
+                top = np.argpartition(score, -r, axis=1)[:, -r:]
+                exact[whole], near[whole] = np.einsum("qrd,qd->qr", self.x[top], x[whole]), self.ids[top]
         exact[near == ids[:, None]] = -np.inf
         order = np.lexsort((near, -exact), axis=1)[:, :k]
         exact, near = np.take_along_axis(exact, order, 1), np.take_along_axis(near, order, 1)
@@ -220,7 +307,8 @@ def _scorer(shared, dim: int, k: int, rerank: int):
 def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, *, dim: int, k: int = 5, codebooks: int = 10, beam: int = 4, rerank: int = 96, sample: int = 40_000, seed: int = 5) -> DataFrame:
     """(id, near): for each valid vector an array of its k nearest others, as (cosine, id) from best to worst.
 
-    Approximate: each vector asks `beam` cells and scores `rerank` of a cell exactly; the returned cosines are exact. Vectors
+    Approximate: each vector asks `beam` cells at least, more where a measured recall needs them, and scores `rerank` of a cell
+    exactly, or all if the codes can't tell the best apart; the returned cosines are exact. Vectors
     that unit_vectors() leaves out take no part; with n of them left each gets min(k, n - 1) neighbours at most, a single one the empty array.
     Ids must be unique; equal vectors are neighbours with cosine 1; at ties the smaller id comes first. The codebooks
     are fitted on at most `sample` vectors, drawn by a hash of their ids.
@@ -264,19 +352,73 @@ def _search(vectors: DataFrame, *, dim: int, k: int, codebooks: int, beam: int,
                 b = big.slice(at, 1024)
                 codes, norm, cells = q.encode(_matrix(b.column("v"), dim))
                 flat = pa.array([c.tobytes() for c in (codes - q.offset[:-1]).astype("<u2")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(norm.astype(np.float32)), pa.array(list(cells), pa.list_(pa.int64()))], ["id", "v", "codes", "norm", "cells"])
+                yield pa.RecordBatch.from_arrays([*b.columns, flat, pa.array(norm.astype(np.float32)), pa.array(cells)], ["id", "v", "codes", "norm", "cell"])
 
-    encoded = materialize(vectors.mapInArrow(encode, "id long, v binary, codes binary, norm float, cells array<long>"), "encoded")
+    encoded = materialize(vectors.mapInArrow(encode, "id long, v binary, codes binary, norm float, cell long"), "encoded")
     discard(vectors)  # its columns are in the encoded table; a table with copies is a join, and stays
+    reach = spark.sparkContext.broadcast(_reach(encoded, quantizer.value, rows, dim=dim, k=k, beam=beam, seed=seed))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector once as stored in its cell, with its codes, and once for each other cell that it asks, without them."""
+        q, r = quantizer.value, reach.value
+        step = 256 if q.routing == 1 else 32
+        for big in batches:
+            for at in range(0, big.num_rows, step):
+                b = big.slice(at, step)
+                own, everyone = b.column("cell").to_numpy(), np.arange(b.num_rows)
+                cells, far = q.route(_matrix(b.column("v"), dim), r.width)
+                row, col = np.nonzero(far <= r.limit(far)[:, None])
+                cell = cells[row, col]
+                other = cell != own[row]
+                row, cell = row[other], cell[other]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), np.int32)), *(b.column(c) for c in ("id", "v", "codes", "norm"))], ["cell", "asks", "id", "v", "codes", "norm"])
+                for i in range(0, len(row), 4096):
+                    few = pa.array(row[i : i + 4096])
+                    n = len(few)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 4096]), pa.array(np.ones(n, np.int32)), b.column("id").take(few), b.column("v").take(few), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float32())], ["cell", "asks", "id", "v", "codes", "norm"])
+
     # Cells of more than BLOCK vectors are at most rows / BLOCK, so the list of them is short.
-    hot = {r[0]: -(-r[1] // BLOCK) for r in encoded.groupBy(F.col("cells")[0].alias("cell")).count().where(F.col("count") > BLOCK).collect()}
+    hot = {r[0]: -(-r[1] // BLOCK) for r in encoded.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
     blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("cell")], F.lit(1)) if hot else F.lit(1)
-    routed = encoded.select("id", "v", "codes", "norm", F.posexplode("cells").alias("rank", "cell"))
+    routed = encoded.mapInArrow(ask, "cell long, asks int, id long, v binary, codes binary, norm float")
     routed = routed.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    stored = (F.col("rank") == 0) & (F.col("own") == F.col("block"))
+    stored = (F.col("asks") == 0) & (F.col("own") == F.col("block"))
     routed = routed.select("cell", "block", F.when(stored, 0).otherwise(1).cast("int").alias("asks"), "id", "v", F.when(stored, F.col("codes")).alias("codes"), F.when(stored, F.col("norm")).alias("norm"))
 
     found = routed.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks").mapInArrow(_scorer(quantizer, dim, k, rerank), "id long, near array<struct<far: double, id: bigint>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     merged = found.groupBy("id").agg(best.alias("near"))
     return merged.select("id", F.transform("near", lambda x: F.struct((-x["far"]).alias("cosine"), x["id"].alias("id"))).alias("near"))
+
+
+def _reach(encoded: DataFrame, q: Quantizer, rows: int, *, dim: int, k: int, beam: int, seed: int) -> Reach:
+    """Fitted on the true neighbours of a sample of the vectors, found among all of them by brute force."""
+    spark = encoded.sparkSession
+    share = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) < int(min(1.0, 1.5 * TRIED / rows + 1e-6) * (1 << 30))
+    tried = encoded.where(share).orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(TRIED).select("id", "v").toArrow().combine_chunks()
+    ids = tried.column("id").to_numpy()
+    x = _matrix(tried.column("v").combine_chunks(), dim) if len(ids) else np.zeros((0, dim), np.float32)
+    if not len(ids) or q.routing == 1 and len(q.books[0]) <= beam:
+        return Reach(beam, beam, np.zeros(0), np.ones(1))
+    shared = spark.sparkContext.broadcast((ids, x))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, y = shared.value
+        score, cell = np.full((len(asked), k), -np.inf, np.float32), np.full((len(asked), k), -1)
+        for big in batches:
+            for at in range(0, big.num_rows, 2048):
+                b = big.slice(at, 2048)
+                s = y @ _matrix(b.column("v"), dim).T
+                s[asked[:, None] == b.column("id").to_numpy()[None, :]] = -np.inf
+                s, c = np.concatenate([score, s], 1), np.concatenate([cell, np.broadcast_to(b.column("cell").to_numpy(), s.shape)], 1)
+                best = np.argpartition(s, -k, axis=1)[:, -k:]
+                score, cell = np.take_along_axis(s, best, 1), np.take_along_axis(c, best, 1)
+        at, _ = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(score[np.isfinite(score)]), pa.array(cell[np.isfinite(score)])], ["at", "score", "cell"])
+
+    found = encoded.select("id", "v", "cell").mapInArrow(brute, "at long, score float, cell long")
+    best = found.groupBy("at").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "cell"))), 1, k).alias("near"))  # k rows a task and vector
+    cells = np.full((len(ids), k), -1)
+    for at, near in best.select("at", "near.cell").toLocalIterator():
+        cells[at, : len(near)] = near
+    return fit_reach(q, x, cells, beam)

@@ -75,6 +75,22 @@ def test_a_third_of_all_vectors_are_copies(spark):
     assert all(len(n) == 5 for n in got.values()) and np.mean(np.array(worst) < 1e-5) >= 0.9
 
 
+def test_a_third_of_all_vectors_are_near_copies(spark, monkeypatch):
+    """A dense group of different vectors over dozens of cells."""
+    monkeypatch.setattr(nv, "CELL", 30)
+    rng = np.random.default_rng(6)
+    x = clusters(4500, seed=5, dim=32)
+    x[::3] = x[0] + 0.05 * rng.normal(size=(1500, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = {r.id: r.near for r in nv.nearest_vectors(frame(spark, x), "id", "v", dim=32, k=5).collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    truth = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    hits = np.array([len(set(truth[i]) & {n.id for n in got[i]}) / 5 for i in range(len(x))])
+    print(f"p4 near copies {hits[::3].mean():.4f}, all {hits.mean():.4f}")
+    assert hits[::3].mean() >= 0.9 and hits.mean() >= 0.9
+
+
 def test_additive_codes_get_closer_with_more_codebooks():
     x = clusters(2000, seed=4)
     errors = []
