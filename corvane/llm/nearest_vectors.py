@@ -29,6 +29,8 @@ CELL, ROUTES, WORDS = 150, 1024, 256
 BLOCK = 4096
 #: Vectors whose neighbours are found by brute force to fit the asked cells, in how many groups by crowding, and the part of the true neighbours that the asked cells of each group must hold.
 TRIED, CROWDS, RECALL = 1024, 8, 0.95
+#: Part of the true neighbours' cells that the beam search over several routing codebooks must find.
+FOUND = 0.995
 
 
 @dataclass
@@ -180,32 +182,34 @@ class Reach:
 
 def fit_reach(q: Quantizer, x: np.ndarray, cells: np.ndarray, least: int) -> Reach:
     """cells: those that hold the true neighbours of each row of x; -1 where there are fewer."""
-    width = least if q.routing > 1 else 0
-    where, far = _distances(q, x, cells, width)
-    reach = Reach(least, width, np.zeros(0), np.ones(1))
-    first, last = reach.near(far)
+    width, total = least, int(np.prod([len(b) for b in q.books[: q.routing]]))
+    while True:
+        reach = Reach(least, width, np.zeros(0), np.ones(1))
+        where, first, last = _distances(q, x, cells, reach)
+        # several routing codebooks: their beam search is widened until it finds the cells, all of them if need be
+        if q.routing == 1 or width >= total or not (cells >= 0).any() or np.isfinite(where[cells >= 0]).mean() >= FOUND:
+            break
+        width *= 2
     crowd = last / first
     reach.crowding = np.quantile(crowd, np.arange(1, CROWDS) / CROWDS) if len(x) >= 50 * CROWDS else np.zeros(0)
     group = np.searchsorted(reach.crowding, crowd)
     multiple = np.ones(len(reach.crowding) + 1)
     for g in range(len(multiple)):
         need = np.where(where <= last[:, None], 1.0, where / first[:, None])[(group == g)[:, None] & (cells >= 0)]
-        need = need[np.isfinite(need)]
         if len(need):
-            multiple[g] = np.quantile(need, RECALL, method="higher") * (1 + 1e-5)
+            multiple[g] = np.sort(need)[min(len(need) - 1, int(RECALL * len(need)))] * (1 + 1e-5)
     reach.multiple = multiple
     return reach
 
 
-def _distances(q: Quantizer, x: np.ndarray, cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distance of each row of x to its given cells, infinite where they aren't found; distances to all found cells)."""
-    where, all_far = [], []
+def _distances(q: Quantizer, x: np.ndarray, cells: np.ndarray, reach: Reach) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance of each row of x to its given cells, infinite where they aren't found; and what reach.near() gives)."""
+    where, near = [], []
     for i in range(0, len(x), 64):
-        found, far = q.route(x[i : i + 64], width)
-        same = found[:, None, :] == cells[i : i + 64, :, None]
-        where.append(np.where(same, far[:, None, :], np.inf).min(2))
-        all_far.append(far)
-    return np.concatenate(where), np.concatenate(all_far)
+        found, far = q.route(x[i : i + 64], reach.width)
+        where.append(np.stack([np.where(found == c[:, None], far, np.inf).min(1) for c in cells[i : i + 64].T], 1))
+        near.append(reach.near(far))
+    return np.concatenate(where), *map(np.concatenate, zip(*near, strict=True))
 
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:

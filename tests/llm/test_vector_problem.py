@@ -47,6 +47,17 @@ def test_routing_over_two_codebooks(spark, monkeypatch):
     assert recall(got, x, 5) >= 0.9
 
 
+def test_two_routing_codebooks_with_the_production_beam(spark, monkeypatch):
+    monkeypatch.setattr(nv, "ROUTES", 16)
+    monkeypatch.setattr(nv, "CELL", 15)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 64))[rng.integers(0, 400, 6000)] + 0.5 * rng.normal(size=(6000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = {r.id: r.near for r in nv.nearest_vectors(frame(spark, x), "id", "v", dim=64, k=5).collect()}
+    print(f"p4 two codebooks {recall(got, x, 5):.4f}")
+    assert recall(got, x, 5) >= 0.9
+
+
 def test_dirty_and_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [math.nan, 1.0]), (7, [math.inf, 1.0]), (8, [1.0, None]), (None, [1.0, 1.0]), (9, [])]
     df = spark.createDataFrame(rows, "id long, v array<float>").withColumn("near", F.lit(1))
