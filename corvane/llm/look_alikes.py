@@ -1,6 +1,6 @@
 """Problem 3: visually identical text with different characters.
 
-All in SQL: one translate() maps look-alike letters, width forms and blanks and deletes invisible characters,
+In SQL, apart from the canonical decomposition of texts that aren't ASCII: one translate() maps look-alike letters, width forms and blanks and deletes invisible characters,
 ligatures are replaced, and the mapped values are grouped under the accent- and case-sensitive Unicode
 collation, which makes composed and decomposed accents equal. Each class gets a canonical member, joined back
 to all its records.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,18 @@ def _translated(text: Column, rules: dict[str, str], drop: str) -> Column:
     return F.translate(text, "".join(rules) + drop, "".join(rules.values()))
 
 
+def _without_marks(text: pa.Array) -> pa.Array:
+    """NFD without combining marks, the same for all canonically equivalent texts."""
+    return pa.array([None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)) for x in text.to_pylist()], pa.string())
+
+
+def _bare(text: Column) -> Column:
+    """For the first partition: the visible form without any mark. ASCII texts, most of them, stay in SQL."""
+    rules, marks = _bare_rules()
+    bare = _translated(text, rules, INVISIBLE + marks)
+    return F.coalesce(_translated(F.arrow_udf(_without_marks, "string")(F.when(bare.rlike(r"[^\x00-\x7F]"), bare)), rules, INVISIBLE + marks), bare)
+
+
 def visible_form(text: Column) -> Column:
     """The text with look-alikes, width forms, ligatures and blanks mapped and invisible characters gone; accents are left to the collation."""
     return _translated(text, _rules(), INVISIBLE)
@@ -80,8 +93,7 @@ def look_alike_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     breaks stay different. Other columns are ignored.
     """
     base = df.select(column(df, key_col).alias("key"), column(df, text_col).alias("text"))
-    bare_rules, marks = _bare_rules()
-    bare = _translated(F.col("text"), bare_rules, INVISIBLE + marks)
+    bare = _bare(F.col("text"))
     # First partition, 16 bytes a record: texts equal without any accent. Only classes of several different texts go on.
     digests = base.where("text is not null").select(F.xxhash64(bare).alias("h"), F.xxhash64("text").alias("t"), (F.trim(F.regexp_replace(bare, r"\s", "")) == "").alias("blank"))
     several = digests.where("not blank").groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi")

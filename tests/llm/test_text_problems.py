@@ -169,6 +169,14 @@ def test_look_alikes(spark):
     assert look_alike_pairs(look_alike_classes(df.limit(0), "k", "t")).count() == 0
 
 
+def test_canonical_forms_of_other_scripts_look_alike(spark):
+    pairs = [("\uac01", "\u1100\u1161\u11a8"), ("\u0622", "\u0627\u0653"), ("\u0958", "\u0915\u093c"), ("\u212b", "A\u030a")]
+    rows = [(f"{side}{i}", f"x {p[j]} y") for i, p in enumerate(pairs) for j, side in enumerate("ab")]
+    got = {(r.key_a, r.key_b) for r in look_alike_pairs(look_alike_classes(spark.createDataFrame(rows, "k string, t string"), "k", "t")).collect()}
+    print(f"p3 canonical pairs {len(got)} of {len(pairs)}")
+    assert got == {(f"a{i}", f"b{i}") for i in range(len(pairs))}
+
+
 def test_accented_look_alikes(spark):
     rows = [("a", "Ёлка"), ("b", "Ëлкa"), ("c", "Ёлка"), ("d", "Елка")]
     got = {r.key for r in look_alike_classes(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
