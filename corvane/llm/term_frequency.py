@@ -1,6 +1,6 @@
 """Problem 6: frequency of every distinct term.
 
-Each block of records is encoded against a dictionary of its own and counted in arrays: occurrences, and
+The terms of each block of records are counted in Counters keyed by the terms themselves: occurrences, and
 records that hold the term. The global dictionary numbers terms by identifier range: a term's hash picks the
 range, its place among the range's sorted terms is the number inside it. The blocks' counts meet in that
 order, and every range is summed as a stream of arrays, in constant memory.
