@@ -16,7 +16,7 @@ from corvane.llm.near_duplicates import expand_pairs, near_duplicates, trie_join
 from corvane.llm.repetition import RULES, fit_label_model, repetition_measures, score_repetition
 from corvane.llm.split_text import LEVELS, spans, split_texts
 from corvane.llm.term_frequency import term_frequencies
-from corvane.llm.term_weights import divergence, most_distinctive, saturated, weighted_terms
+from corvane.llm.term_weights import divergence, most_distinctive, most_distinctive_terms, saturated, weighted_terms
 from corvane.llm.tokenize_corpus import count_tokens, decode_corpus, default_vocabulary, encode_corpus, transducer
 
 WORD = re.compile(r"[^\W_]+")
@@ -130,6 +130,9 @@ def test_term_weights_against_a_model(spark):
         best = {r.id: r.term for r in most_distinctive(w).collect()}
         for i in {i for i, _ in want}:
             assert best[i] == min((t for j, t in want if j == i), key=lambda t: (-round(want[i, t], 9), t))
+        for head in (0, 3, 10**6):  # no term, some or all of them have their statistics broadcast
+            assert {r.id: r.term for r in most_distinctive_terms(df, "o", "term", "tf", weight, least_df=least, head_terms=head).collect()} == best
+    assert {(r.id, r.term): r.weight for r in weighted_terms(df, "o", "term", "tf", weight, least_df=least, head_terms=3).collect()} == got
     assert weighted_terms(df.limit(0), "o", "term", "tf", saturated(1.5, 0.75)).count() == 0
 
 
