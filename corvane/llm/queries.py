@@ -14,7 +14,7 @@ from .mixing import mix_sources
 from .near_duplicates import expand_pairs, near_duplicates
 from .nearest_vectors import nearest_vectors
 from .repetition import score_repetition
-from .split_text import split_texts
+from .split_text import LEVELS, split_texts
 from .term_frequency import term_frequencies
 from .term_weights import divergence, most_distinctive_terms, saturated
 from .tokenize_corpus import encode_corpus
@@ -72,7 +72,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_texts(_read(spark, d, "docs"), "id", "text", limit=1200, least=600, overlap=120, longer_than=1200)
+    """TESTDATA.md has no sections: its levels are the hierarchy's from the paragraph down."""
+    pieces = split_texts(_read(spark, d, "docs"), "id", "text", limit=1200, least=600, overlap=120, longer_than=1200, levels=LEVELS[1:])
     return pieces.select("id", "byte_start", "byte_end").distinct()  # rows delivered twice give their pieces once
 
 

@@ -1,15 +1,15 @@
 """Problem 5: splitting oversized texts at natural boundaries, by a recursive hierarchy of separators.
 
-The levels are section, sentence, word and character. Pieces are packed greedily: the next piece takes all it
-can hold up to the limit and ends at the last boundary of the coarsest level that has one in the piece's
-second part; only where a level has none the next finer one is asked, down to single characters. Each piece
-starts `overlap` characters before the end of the one before.
+The levels are section, paragraph, sentence, word and character. Pieces are packed greedily: a piece takes all it can hold up to
+the limit and ends at the last boundary of the coarsest level that has one in the piece's second part. Where a
+level has none there, that part is one unbroken stretch of it, and the search goes on inside the stretch with the next finer
+level, down to single characters. Each piece starts `overlap` characters before the end of the one before. Boundaries
+are only looked for where a piece may end, so a text of any length takes time in proportion to it and constant memory beside it.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,24 +18,34 @@ from pyspark.sql import DataFrame
 
 from .common import column, sub_batches
 
-#: A boundary is the position directly after a match; levels from coarse to fine.
-LEVELS = (r"(?<=\n\n)", r"(?<=[.!?][ \t\n])", r"(?<=[ \t\n])")
+#: A boundary is the position directly after a match: a form feed, a third line feed, or the line feed before a heading; then paragraphs, sentences and words.
+SECTION = r"(?<=\f)|(?<=\n\n\n)|(?<=\n)(?=#{1,6} )"
+PARAGRAPH = r"(?<=\n\n)"
+SENTENCE = r"(?<=[.!?][ \t\n])"
+WORD_END = r"(?<=[ \t\n])"
+#: Levels from coarse to fine; below the last one come single characters.
+LEVELS = (SECTION, PARAGRAPH, SENTENCE, WORD_END)
+#: Characters after a boundary that a level may look at.
+AHEAD = 16
+
+
+def boundary(text: str, low: int, high: int, levels: Sequence[re.Pattern]) -> int:
+    """The last boundary in low..high of the coarsest level that has one there; `high` itself below the finest level."""
+    if not levels:
+        return high
+    last = None
+    for m in levels[0].finditer(text, low, min(high + AHEAD, len(text))):
+        if m.start() > high:
+            break
+        last = m.start()
+    return last if last is not None else boundary(text, low, high, levels[1:])
 
 
 def spans(text: str, limit: int, least: int, overlap: int, levels: Sequence[re.Pattern]) -> list[tuple[int, int]]:
     """Character spans of the pieces of one text; one span if it fits, none if it is empty."""
     size, start, out = len(text), 0, []
-    ends: list[list[int] | None] = [None] * len(levels)
     while size - start > limit:
-        low, high = start + least, start + limit
-        end = high
-        for k, level in enumerate(levels):
-            if ends[k] is None:  # a level's boundaries are found when it is first asked
-                ends[k] = [m.start() for m in level.finditer(text)]
-            at = bisect_right(ends[k], high) - 1
-            if at >= 0 and ends[k][at] >= low:
-                end = ends[k][at]
-                break
+        end = boundary(text, start + least, start + limit, levels)
         out.append((start, end))
         start = end - overlap
     if size:
@@ -46,9 +56,10 @@ def spans(text: str, limit: int, least: int, overlap: int, levels: Sequence[re.P
 def split_texts(df: DataFrame, id_col: str, text_col: str, *, limit: int = 1200, least: int = 600, overlap: int = 120, longer_than: int | None = None, levels: Sequence[str] = LEVELS, with_text: bool = False) -> DataFrame:
     """(<id_col>, piece, char_start, char_end, byte_start, byte_end[, piece_text]): the pieces of each row's text.
 
-    Sizes count characters (code points); bytes are those of UTF-8. Only texts of more than `longer_than`
+    Sizes count characters (code points); bytes are those of UTF-8. A piece has `limit` characters at most and, but for a text's
+    last one, `least` or more. Only texts of more than `longer_than`
     characters give rows (default: all non-empty ones). Null and empty texts give none; repeated rows are split each for
-    itself; other columns are ignored. One narrow pass: no shuffle.
+    itself; null ids are kept; other columns are ignored. One narrow pass: no shuffle.
     """
     if not 0 <= overlap < least <= limit:
         raise ValueError("0 <= overlap < least <= limit is needed")

@@ -153,9 +153,29 @@ def test_term_frequencies(spark):
     assert {t: (r.occurrences, r.records) for t, r in got.items()} == {t: (occurrences[t], records[t]) for t in occurrences}
     assert {t: r.band for t, r in got.items()} == {t: "rare" if records[t] <= 2 else "common" if records[t] > 8 else None for t in records}
     assert len({r.term_id for r in got.values()}) == len(got)
+    # identifiers run from 0 inside each range, in the order of the terms
+    ranges = {}
+    for t in sorted(got, key=lambda t: t.encode()):
+        ranges.setdefault(got[t].term_id >> 40, []).append(got[t].term_id & (2**40 - 1))
+    assert all(n == list(range(len(n))) for n in ranges.values())
     assert term_frequencies(df.limit(0), "text").count() == 0
 
 
+def test_count_arrays_are_indexed_by_identifiers(spark, monkeypatch):
+    """Blocks of few terms, and one range for all of them: every count meets its own in the arrays of the dictionary's numbers."""
+    import corvane.llm.term_frequency as tf
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"t{x}" for x in rng.zipf(1.4, 60) % 3000) for _ in range(400)]
+    records = Counter(t for x in texts for t in set(x.split()))
+    occurrences = Counter(t for x in texts for t in x.split())
+    monkeypatch.setattr(tf, "RANGES", 1)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    got = tf.term_frequencies(df, "text").collect()
+    assert {r.term: (r.occurrences, r.records) for r in got} == {t: (occurrences[t], records[t]) for t in records}
+    assert [r.term for r in sorted(got, key=lambda r: r.term_id)] == sorted(records) and {r.term_id for r in got} == set(range(len(records)))
+
+
 # 3. look-alikes
 
 
@@ -204,14 +224,27 @@ def rule(text):
 @given(st.lists(st.sampled_from(["word ", "é" * 40, "end. ", "\n\n", "日本" * 30, "x" * 700, "tab\t", "?\n", "😀"]), max_size=120), st.integers(0, 3))
 def test_pieces_follow_the_rule(parts, repeat):
     text = "".join(parts) * (repeat + 1)
-    got = spans(text, 1200, 600, 120, [re.compile(x) for x in LEVELS])
+    got = spans(text, 1200, 600, 120, [re.compile(x) for x in LEVELS[1:]])
     assert got == (rule(text) if text else [])
 
 
+def test_levels_from_section_to_character():
+    compiled = [re.compile(x) for x in LEVELS]
+    cut = lambda t: [t[s:e] for s, e in spans(t, 40, 10, 0, compiled)]
+    assert cut("intro text. more\n\npara two.\n# Head\nbody goes on and on") == ["intro text. more\n\npara two.\n", "# Head\nbody goes on and on"]
+    assert cut("page one, a. b\n\nxx\fpage two is longer than one. yes") == ["page one, a. b\n\nxx\f", "page two is longer than one. yes"]
+    assert cut("one. two. three\n\nfour. five. six seven eight nine") == ["one. two. three\n\n", "four. five. six seven eight nine"]
+    assert cut("one two three four. five six seven eight nine ten") == ["one two three four. ", "five six seven eight nine ten"]
+    assert cut("one two three four five six seven eight nine ten") == ["one two three four five six seven eight ", "nine ten"]
+    assert cut("x" * 90) == ["x" * 40, "x" * 40, "x" * 10]
+    long = "word and more. " * 200_000
+    assert [s for s, _ in spans(long, 40, 10, 0, compiled)][:3] == [0, 30, 60]
+
+
 def test_split_texts(spark):
     long = "Ação é boa. " * 300 + "\n\n" + "日本語" * 700
     df = spark.createDataFrame([("a", long, 1), ("a", long, 1), ("b", "short", 2), ("c", None, 3), ("d", "", 4), ("e", "y" * 1200, 5), ("f", "y" * 1201, 6)], "id string, text string, piece int")
-    got = split_texts(df, "id", "text", longer_than=1200, with_text=True).collect()
+    got = split_texts(df, "id", "text", longer_than=1200, with_text=True, levels=LEVELS[1:]).collect()
     assert {r.id for r in got} == {"a", "f"}
     a = sorted({(r.char_start, r.char_end, r.byte_start, r.byte_end, r.piece_text) for r in got if r.id == "a"})
     assert [(x[0], x[1]) for x in a] == rule(long)
