@@ -4,24 +4,28 @@ Byte-pair encoding is usually defined by repeated merging over a whole piece of
 built from left to right instead. A token sequence is the encoding of its bytes exactly if every adjacent
 pair of its tokens is, so the last token of each prefix's encoding follows from the last tokens of shorter
 prefixes, no further back than the longest token. Once all prefixes that a later token may still start from
-share a common token end, the tokens up to it can never change: they are stable and are emitted, and their
-state is dropped. The merge list bounds how late that may happen: see sufficient_lookahead().
+share a common token end, the tokens up to it can never change. The merge list bounds how late that happens, see
+sufficient_lookahead(): a token that ends so many bytes before the last byte read is stable. It is emitted, and its
+state is dropped.
 
-The split before the merges is the tokenizer's fixed pattern. Pieces that recur are encoded once per worker,
-in a table of bounded size.
+The split before the merges is the tokenizer's fixed pattern, and a stream too: see pieces(). So a text of any length
+is encoded in constant memory beside it. Pieces that recur are encoded once per worker, in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
+import importlib.util
 import json
 import os
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, list_array, sub_batches
@@ -33,16 +37,20 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _REMEMBER_CHARS, _REMEMBER = 64, 300_000
 
 
+#: Characters of a text that are split at once, and from which on a piece that is still open is handed on in parts.
+_PART, _OPEN = 65_536, 4096
+#: The largest vocabulary file that is sent to the workers.
+VOCABULARY_BYTES = 64 << 20
+
+
 def default_vocabulary() -> str:
-    """Path of byte_bpe_50k.json: $CORVANE_TOKENIZERS, the public_tokenizers module, or /opt/tokenizers."""
+    """Path of byte_bpe_50k.json on the driver: in $CORVANE_TOKENIZERS, else in the public_tokenizers package."""
     folder = os.environ.get("CORVANE_TOKENIZERS")
     if not folder:
-        try:
-            import public_tokenizers
-
-            folder = os.path.dirname(public_tokenizers.__file__)
-        except ImportError:
-            folder = "/opt/tokenizers"
+        found = importlib.util.find_spec("public_tokenizers")
+        if found is None or not found.submodule_search_locations:
+            raise FileNotFoundError("no vocabulary: give its path, or set CORVANE_TOKENIZERS to the folder of byte_bpe_50k.json")
+        folder = list(found.submodule_search_locations)[0]
     return os.path.join(folder, "byte_bpe_50k.json")
 
 
@@ -56,10 +64,10 @@ def _printable_bytes() -> dict[str, int]:
 class BytePairTransducer:
     """Streaming encoder and decoder for one vocabulary; one instance per worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         import regex
 
-        model = json.load(open(path, encoding="utf-8"))["model"]
+        model = json.loads(file)["model"]
         to_byte = _printable_bytes()
         vocabulary = {bytes(to_byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in to_byte for c in t)}
         self.ids = vocabulary
@@ -76,7 +84,9 @@ class BytePairTransducer:
         self.longest = max(map(len, vocabulary))
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(PATTERN)
+        #: What a piece that is still open goes on with, by the class of its last character.
+        self.classes = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*", r"\s*")]
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """(token, rank at which it is merged away), from the outermost byte up to the token itself."""
@@ -126,39 +136,38 @@ class BytePairTransducer:
             longest[a, b] = 1 + max((longest[c, a] for r, c in by_right.get(a, ()) if r > rank), default=0)
         return (max(longest.values(), default=0) + 1) * self.longest
 
-    def stream(self, pieces: Iterable[bytes]) -> Iterator[int]:
-        """Token ids of one piece that arrives in parts; state is dropped as soon as its tokens are stable."""
+    @cached_property
+    def lookahead(self) -> int:
+        return self.sufficient_lookahead()
+
+    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
+        """Token ids of one piece that arrives in parts. Of the open bytes never more than 2 * lookahead and a little are held."""
         ids, endings, adjacent = self.ids, self.endings, self.adjacent
         data, last = b"", [(-1, -1)]  # of each open position: the token that ends there, and where that token starts
-        for part in pieces:
-            data += part
-            while (i := len(last)) <= len(data):
-                size = 1
-                while size <= i and (tail := data[i - size : i]) in endings:
-                    token = ids.get(tail)
-                    if token is not None:
-                        before = last[i - size][0]
-                        if before < 0 or adjacent(before, token):
-                            last.append((token, i - size))
-                            break
-                    size += 1
-                else:
-                    raise ValueError("the vocabulary lacks a byte")
-                if i > 4 * self.longest and i % self.longest == 0 and (common := self._common(last, i)):
-                    yield from self._back(last, common)
+        for part in parts:
+            for at in range(0, len(part), 4096):
+                data += part[at : at + 4096]
+                while (i := len(last)) <= len(data):
+                    size = 1
+                    while size <= i and (tail := data[i - size : i]) in endings:
+                        token = ids.get(tail)
+                        if token is not None:
+                            before = last[i - size][0]
+                            if before < 0 or adjacent(before, token):
+                                last.append((token, i - size))
+                                break
+                        size += 1
+                    else:
+                        raise ValueError("the vocabulary lacks a byte")
+                if len(data) > 8192 and len(data) >= 2 * self.lookahead:
+                    stable = len(data)
+                    while stable > len(data) - self.lookahead:
+                        stable = last[stable][1]
+                    yield from self._back(last, stable)
                     # position 0 of the open part keeps its token, for the test of adjacency
-                    data, last = data[common:], [(last[common][0], 0), *((t, s - common) for t, s in last[common + 1 :])]
+                    data, last = data[stable:], [(last[stable][0], 0), *((t, s - stable) for t, s in last[stable + 1 :])]
         yield from self._back(last, len(last) - 1)
 
-    def _common(self, last: list, i: int) -> int:
-        """The furthest position that the encodings of all prefixes still open at i have in common."""
-        at = set(range(max(0, i - self.longest + 1), i + 1))
-        while len(at) > 1:
-            top = max(at)
-            at.remove(top)
-            at.add(max(last[top][1], 0))
-        return at.pop()
-
     @staticmethod
     def _back(last: list, at: int) -> list[int]:
         out = []
@@ -170,23 +179,80 @@ class BytePairTransducer:
     def encode_piece(self, piece: bytes) -> list[int]:
         return list(self.stream((piece,)))
 
+    def pieces(self, parts: Iterable[str]) -> Iterator[tuple[str, bool]]:
+        """(characters, whether a piece ends with them) of a text that arrives in parts.
+
+        A match is final once three characters and another match follow it: no later character can change it, as the pattern
+        looks at most two characters ahead of what it takes. Only one kind of piece has no bound, a run of one class; a
+        long one is handed on in parts. A run of blanks keeps its last one back, which may belong to the word that follows.
+        """
+        text, run = "", None
+        for part in parts:
+            text += part
+            if run is not None:
+                end, blanks = run.match(text).end(), run is self.classes[3]
+                whole = end == len(text)
+                end -= blanks and end > 0
+                yield text[:end], not whole
+                text = text[end:]
+                if whole:
+                    continue
+                run = None
+            spans = [m.span() for m in self.split.finditer(text)]
+            safe = 0
+            while safe < len(spans) - 1 and spans[safe][1] + 3 <= len(text):
+                yield text[slice(*spans[safe])], True
+                safe += 1
+            if safe < len(spans):
+                at = spans[safe][0]
+                text = text[at:]
+                if safe == len(spans) - 1 and len(text) > _OPEN:
+                    run = next(c for c in self.classes if c.fullmatch(text[-1]))
+                    end = len(text) - (run is self.classes[3])
+                    yield text[:end], False
+                    text = text[end:]
+        if run is not None:
+            yield text, True
+        else:
+            for piece in self.split.findall(text):
+                yield piece, True
+
+    def encode_parts(self, parts: Iterable[str]) -> Iterator[int]:
+        """Token ids of a text that arrives in parts."""
+        found = self.pieces(parts)
+
+        def rest(first: str) -> Iterator[bytes]:
+            yield first.encode("utf-8", "replace")
+            for more, end in found:
+                yield more.encode("utf-8", "replace")
+                if end:
+                    return
+
+        for piece, end in found:
+            yield from self._piece(piece) if end else self.stream(rest(piece))
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "replace")
+            one = self.ids.get(raw)
+            ids = [one] if one is not None else self.encode_piece(raw)
+            if len(piece) <= _REMEMBER_CHARS:
+                if len(self.known) >= _REMEMBER:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without special tokens; null and empty texts give the empty list."""
         out: list[int] = []
         if not text:
             return out
-        known = self.known
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                raw = piece.encode("utf-8", "replace")
-                one = self.ids.get(raw)
-                ids = [one] if one is not None else self.encode_piece(raw)
-                if len(piece) <= _REMEMBER_CHARS:
-                    if len(known) >= _REMEMBER:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
+        if len(text) > _PART:
+            return list(self.encode_parts(text[i : i + _PART] for i in range(0, len(text), _PART)))
+        known, piece_ids = self.known, self._piece
+        for piece in self.split.findall(text):
+            out += known.get(piece) or piece_ids(piece)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -197,7 +263,29 @@ class BytePairTransducer:
 
 @lru_cache(maxsize=2)
 def transducer(path: str) -> BytePairTransducer:
-    return BytePairTransducer(path)
+    with open(path, "rb") as f:
+        return BytePairTransducer(f.read())
+
+
+_LOADED: dict[str, BytePairTransducer] = {}  # of this worker, by the digest of the vocabulary
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], BytePairTransducer]:
+    """The vocabulary is read on the driver and broadcast, so that executors need no such file; what is returned gives a worker its transducer."""
+    size = os.path.getsize(path)
+    if size > VOCABULARY_BYTES:
+        raise ValueError(f"{path} has {size} bytes; a vocabulary of at most {VOCABULARY_BYTES} is sent to the workers")
+    with open(path, "rb") as f:
+        file = f.read()
+    name, shared = hashlib.sha256(file).hexdigest(), spark.sparkContext.broadcast(zlib.compress(file, 1))
+
+    def load() -> BytePairTransducer:
+        if name not in _LOADED:
+            _LOADED.clear()
+            _LOADED[name] = BytePairTransducer(zlib.decompress(shared.value))
+        return _LOADED[name]
+
+    return load
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, vocabulary: str | None = None) -> DataFrame:
@@ -205,10 +293,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, vocabulary: str
 
     Rows stay rows: repeated ids and rows are kept, null ids too, other columns are ignored. One narrow pass: no shuffle.
     """
-    path = vocabulary or default_vocabulary()
+    load = shipped(df.sparkSession, vocabulary or default_vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(path).encode
+        encode = load().encode
         for b in sub_batches(batches, 500):
             lists = [np.array(encode(x), np.int32) for x in b.column(1).to_pylist()]
             lengths = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -220,10 +308,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, vocabulary: str
 
 def decode_corpus(df: DataFrame, id_col: str, ids_col: str, *, vocabulary: str | None = None) -> DataFrame:
     """(<id_col>, text): the inverse of encode_corpus; null and empty lists give the empty text, bytes that are no UTF-8 the replacement character."""
-    path = vocabulary or default_vocabulary()
+    load = shipped(df.sparkSession, vocabulary or default_vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = transducer(path).decode
+        decode = load().decode
         for b in sub_batches(batches, 500):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
@@ -233,11 +321,11 @@ def decode_corpus(df: DataFrame, id_col: str, ids_col: str, *, vocabulary: str |
 
 def count_tokens(df: DataFrame, keep: list[str], text_col: str, *, vocabulary: str | None = None) -> DataFrame:
     """The columns `keep` and tokens: the number of ids of each row's text, 0 for null and empty ones."""
-    path = vocabulary or default_vocabulary()
+    load = shipped(df.sparkSession, vocabulary or default_vocabulary())
     base = df.select(*(column(df, c).alias(f"c{i}") for i, c in enumerate(keep)), column(df, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = transducer(path).encode
+        encode = load().encode
         for b in sub_batches(batches, 500):
             n = [len(encode(x)) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*(f"c{i}" for i in range(len(keep))), "tokens"])
