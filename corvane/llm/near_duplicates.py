@@ -12,8 +12,13 @@ many tries at once; differing bits add up and a pair is dropped as soon as they
 Surviving pairs are checked exactly on their windows.
 
 Copies (records with equal window sets) take part once and are put back at the end. A trie larger than
-`max_trie` is cut into blocks, and each pair of blocks is a task of its own, so that no task holds an
-unbounded group.
+`max_trie` is cut into blocks, and each pair of blocks is a group of its own, so that no task holds an
+unbounded group. Keys that hold a share of all records are known before the shuffle and cut there; others that turn out
+too large are cut after it.
+
+How common a window is follows from tables of bounded size: whether it was seen again at all, whether it was seen again among
+a 16th of the records, a 256th and so on, and exact counts of the windows that a share of all records hold. Any order
+loses nothing; a good one keeps the tries small.
 """
 
 from __future__ import annotations
@@ -27,16 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHasher, checked_semi, column, list_array, materialize, mix64, sub_batches, windows_of
+from .common import BROADCAST_ROWS, WORD, WordHasher, checked_semi, column, list_array, materialize, mix64, sub_batches, windows_of
 
 BITS = 256
 #: Cells of the table that tells windows seen once from windows seen again: 2 bits each, 8 MB in all, at every corpus size.
 CELL_BITS = 25
-_RANGES = 64
+#: Levels of samples of the records, each a 16th of the one before, and the cells of their tables: 1 MB a level.
+LEVELS, LEVEL_BITS = 4, 22
+#: Bytes of a table that travel as one row.
+_WIDTH = 1 << 16
 #: A window is called heavy from this share of all records on: at most (mean set size) / HEAVY windows can be.
 HEAVY = 1 / 2000
 #: Pairs of leaves that one run of the trie walk may have to look at.
 _PAIR_ROOM = 1_000_000
+#: Rows that a batch of keys holds, about.
+_ROOM = 50_000
 
 
 def shingle_table(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -72,37 +82,55 @@ def _arrays(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), col.flatten().to_numpy().view(np.uint64)
 
 
-def window_statistics(shingles: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """What the key order needs, over all records: bits of the cells in which two windows fell, and counts of heavy windows.
+def _cells(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sampled(ids: np.ndarray) -> np.ndarray:
+    """The highest level at which each record is in the sample."""
+    z = mix64(ids.view(np.uint64))
+    return sum((z % np.uint64(16**level) == 0).astype(np.int64) for level in range(1, LEVELS + 1))
+
 
-    Both are of bounded size: 2^CELL_BITS bits, and at most (mean set size) / HEAVY windows.
+def window_statistics(records: DataFrame) -> tuple[list[np.ndarray], dict[int, int]]:
+    """What the key order needs, over all records: for each level the bits of the cells in which two windows fell, and counts of heavy windows.
+
+    All are of bounded size: 2^CELL_BITS bits, LEVELS times 2^LEVEL_BITS, and at most (mean set size) / HEAVY windows.
     """
-    width = (1 << CELL_BITS) // 8 // _RANGES
+    sizes = [1 << CELL_BITS, *[1 << LEVEL_BITS] * LEVELS]
+    parts = [-(-n // 8 // _WIDTH) for n in sizes]  # rows of each table
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(1 << CELL_BITS, bool), np.zeros(1 << CELL_BITS, bool)
-        records = 0
+        once, again = ([np.zeros(n, bool) for n in sizes] for _ in range(2))
+        seen = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            records += b.num_rows
-            _, h = _arrays(b, "windows")
-            h, counts = np.unique(h, return_counts=True)
-            cells = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            again[cells[counts > 1]] = True
-            again[cells[once[cells]]] = True
-            again[cells[1:][cells[1:] == cells[:-1]]] = True
-            once[cells] = True
-            heavy = counts >= max(4, b.num_rows * HEAVY)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(heavy.sum(), -1, np.int32)), pa.array(h[heavy].view(np.int64)), pa.array(counts[heavy].astype(np.int64)), pa.nulls(heavy.sum(), pa.binary()), pa.nulls(heavy.sum(), pa.binary())], names)
-        a, z = np.packbits(once), np.packbits(again)
-        cut = range(0, len(a), width)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array([0] * _RANGES, pa.int64()), pa.array([records] + [0] * (_RANGES - 1), pa.int64()), pa.array([a[i : i + width].tobytes() for i in cut], pa.binary()), pa.array([z[i : i + width].tobytes() for i in cut], pa.binary())], names)
+            seen += b.num_rows
+            owner, every = _arrays(b, "windows")
+            level_of = _sampled(b.column("id").to_numpy())
+            for level, bits in enumerate([CELL_BITS, *[LEVEL_BITS] * LEVELS]):
+                mine = every if not level else every[level_of[owner] >= level]
+                if not len(mine):
+                    break
+                h, counts = np.unique(mine, return_counts=True)
+                cells = _cells(h, bits)
+                again[level][cells[counts > 1]] = True
+                again[level][cells[once[level][cells]]] = True
+                again[level][cells[1:][cells[1:] == cells[:-1]]] = True
+                once[level][cells] = True
+                if not level:
+                    heavy = counts >= max(4, b.num_rows * HEAVY)
+                    n = int(heavy.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), pa.array(h[heavy].view(np.int64)), pa.array(counts[heavy].astype(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+        packed = [(np.packbits(x).tobytes(), np.packbits(y).tobytes()) for x, y in zip(once, again, strict=True)]
+        cut = [(x[i * _WIDTH : (i + 1) * _WIDTH], y[i * _WIDTH : (i + 1) * _WIDTH]) for (x, y), n in zip(packed, parts, strict=True) for i in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([0] * len(cut), pa.int64()), pa.array([seen] + [0] * (len(cut) - 1), pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*cut, strict=True))], names)
 
     names = ["part", "h", "n", "once", "again"]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # one entry a range, whatever the number of rows
+        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # one entry a row of a table, whatever the number of records
         for b in batches:
             for part, once, again in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 a, z = np.frombuffer(once, np.uint8), np.frombuffer(again, np.uint8)
@@ -112,45 +140,67 @@ def window_statistics(shingles: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
                 state[part] = a, z
         yield pa.RecordBatch.from_arrays([pa.array(state, pa.int32()), pa.array([z.tobytes() for _, z in state.values()], pa.binary())], ["part", "again"])
 
-    said = materialize(shingles.select("windows").mapInArrow(scan, "part int, h long, n long, once binary, again binary"), "window-statistics")
-    bits = bytearray(_RANGES * width)
-    for part, again in said.where("part >= 0").select("part", "once", "again").repartition(_RANGES, "part").mapInArrow(merge, "part int, again binary").collect():
-        bits[part * width : (part + 1) * width] = again
+    said = materialize(records.select("id", "windows").mapInArrow(scan, "part int, h long, n long, once binary, again binary"), "window-statistics")
+    found = dict(said.where("part >= 0").select("part", "once", "again").repartition(sum(parts), "part").mapInArrow(merge, "part int, again binary").collect())
+    tables, at = [], 0
+    for n, size in zip(parts, sizes, strict=True):
+        bits = b"".join(bytes(found.get(at + i, bytes(min(_WIDTH, size // 8)))) for i in range(n))
+        tables.append(np.frombuffer(bits, np.uint8))
+        at += n
     total = said.where("part >= 0").agg(F.sum("n")).first()[0] or 0
     heavy = said.where("part < 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= total * HEAVY).collect()
-    return np.frombuffer(bytes(bits), np.uint8), {r[0]: r[1] for r in heavy}
+    return tables, {r[0]: r[1] for r in heavy}
+
+
+def _bit(table: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def sketch_keys(shingles: DataFrame, threshold: Fraction) -> DataFrame:
-    """(key, digest, id, n, sketch): one row for each prefix window that another record may hold too."""
-    again, heavy = window_statistics(shingles)
+def sketch_keys(records: DataFrame, threshold: Fraction, max_trie: int) -> DataFrame:
+    """(key, block, side, id, n, sketch): one row for each prefix window that another record may hold too.
+
+    Keys that more than max_trie records are known to hold are cut into blocks here: a row for each pair of blocks that the record's block is in.
+    """
+    tables, heavy = window_statistics(records)
     hs = np.array(sorted(heavy), np.int64)
-    shared = shingles.sparkSession.sparkContext.broadcast((again, hs, np.array([heavy[h] for h in hs.tolist()], np.int64)))
+    shared = records.sparkSession.sparkContext.broadcast((tables, hs, np.array([heavy[h] for h in hs.tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        again, hs, hn = shared.value
+        (again, *levels), hs, hn = shared.value
         for b in sub_batches(batches):
             owner, h = _arrays(b, "windows")
             rows, n = b.num_rows, b.column("windows").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            weight = np.zeros(len(h), np.int64)
+            weight, held = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+            cell = _cells(h, LEVEL_BITS)
+            for level, table in enumerate(levels, 1):
+                weight[_bit(table, cell)] = level
             if len(hs):
                 at = np.minimum(np.searchsorted(hs, h.view(np.int64)), len(hs) - 1)
-                weight = np.where(hs[at] == h.view(np.int64), hn[at], 0)
+                held = np.where(hs[at] == h.view(np.int64), hn[at], 0)
+                weight = np.where(held > 0, LEVELS + held, weight)
             order = np.lexsort((h, weight, owner))
-            owner, h = owner[order], h[order]
+            owner, h, held = owner[order], h[order], held[order]
             start = np.cumsum(n) - n
             prefix = n - -(-n * threshold.numerator // threshold.denominator) + 1
             keep = np.arange(len(h)) - start[owner] < prefix[owner]
-            cell = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-            keep &= (again[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+            keep &= _bit(again, _cells(h, CELL_BITS))
             flips = np.bincount(owner * BITS + (mix64(h) % np.uint64(BITS)).astype(np.int64), minlength=rows * BITS) & 1
             sketches = np.packbits(flips.reshape(rows, BITS).astype(bool), axis=1)
             owner, h = owner[keep], h[keep]
-            digest = np.frombuffer(b"".join(x[:8] for x in b.column("digest").to_pylist()), np.int64)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(owner), [None, pa.py_buffer(sketches[owner].tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(digest[owner]), b.column("id").take(pa.array(owner)), pa.array(n[owner].astype(np.int32)), flat], ["key", "digest", "id", "n", "sketch"])
-
-    return shingles.mapInArrow(run, "key long, digest long, id long, n int, sketch binary")
+            blocks = np.where(held[keep] > max_trie, -(-held[keep] // max_trie), 1)
+            ids = b.column("id").to_numpy()
+            cuts = np.flatnonzero(np.diff(np.cumsum(blocks) // _ROOM)) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(blocks)], strict=True):
+                times = blocks[lo:hi]
+                pick = np.repeat(np.arange(lo, hi), times)
+                other = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
+                mine = (mix64(ids[owner[pick]].view(np.uint64)) % blocks[pick].astype(np.uint64)).astype(np.int64)
+                block = np.where(blocks[pick] > 1, np.minimum(mine, other) << 32 | np.maximum(mine, other), -1)
+                who = owner[pick]
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(who), [None, pa.py_buffer(sketches[who].tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(block), pa.array(((blocks[pick] > 1) & (mine > other)).astype(np.int8)), pa.array(ids[who]), pa.array(n[who].astype(np.int32)), flat], ["key", "block", "side", "id", "n", "sketch"])
+
+    return records.select("id", "windows").mapInArrow(run, "key long, block long, side tinyint, id long, n int, sketch binary")
 
 
 def trie_join(group: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -230,107 +280,86 @@ def _sketches(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1) if len(col) else np.zeros((0, BITS // 8), np.uint8)
 
 
-def _joined(rows: DataFrame, factor: float, max_trie: int) -> DataFrame:
-    """Walk the tries of a stream sorted by (key, digest, id); rows of too large a trie come out with hot = true, their key in b."""
+def _joined(keys: DataFrame, factor: float, max_trie: int) -> DataFrame:
+    """Walk the tries of (key, block, side, id, n, sketch). Block -1 is a whole trie; one of more than max_trie rows comes out
+    with hot = true, its key in b, to be cut. Other blocks are pairs of blocks i << 32 | j."""
+    rows = keys.repartition("key", "block").sortWithinPartitions("key", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # whole groups, then the group that is still open
-        last_key = last_digest = hot_key = None
+        hot_key = None
 
         def hot(key, ids, n, sketch):
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(ids), bool)), pa.array(ids), pa.array(key), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary())], _OUT)
 
-        def walk(key, ids, n, sketch):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        def starts_of(key, block):
+            return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+
+        def walk(key, block, side, ids, n, sketch):
+            starts = starts_of(key, block)
             size = np.diff(np.r_[starts, len(key)])
-            keep = np.repeat(size > 1, size)
-            key, ids, n, sketch = key[keep], ids[keep], n[keep], sketch[keep]
-            if not len(key):
-                return
-            size = size[size > 1]
-            cut = np.cumsum(size**2) // _PAIR_ROOM
-            ends = np.cumsum(size)
-            for lo, hi in zip(np.r_[0, np.flatnonzero(np.diff(cut)) + 1], np.r_[np.flatnonzero(np.diff(cut)) + 1, len(size)], strict=True):
-                s = slice(ends[lo] - size[lo], ends[hi - 1])
-                a, b = trie_join(np.repeat(np.arange(lo, hi), size[lo:hi]), np.zeros(s.stop - s.start, np.int8), n[s], sketch[s], factor)
-                if len(a):
-                    yield _pairs(ids[s], a, b)
+            crossed = (block[starts] >> 32) != (block[starts] & 0xFFFFFFFF)
+            crossed &= block[starts] >= 0
+            for two in (False, True):  # a trie with itself, or one with another
+                keep = np.repeat((size > 1) & (crossed == two), size)
+                if not keep.any():
+                    continue
+                part_size = size[(size > 1) & (crossed == two)]
+                s_side, s_ids, s_n, s_sketch = side[keep] if two else np.zeros(int(keep.sum()), np.int8), ids[keep], n[keep], sketch[keep]
+                cut = np.cumsum(part_size**2) // _PAIR_ROOM
+                ends = np.cumsum(part_size)
+                for lo, hi in zip(np.r_[0, np.flatnonzero(np.diff(cut)) + 1], np.r_[np.flatnonzero(np.diff(cut)) + 1, len(part_size)], strict=True):
+                    s = slice(ends[lo] - part_size[lo], ends[hi - 1])
+                    if two and not s_side[s].any():
+                        continue  # no second trie
+                    a, b = trie_join(np.repeat(np.arange(lo, hi), part_size[lo:hi]), s_side[s], s_n[s], s_sketch[s], factor)
+                    if len(a):
+                        yield _pairs(s_ids[s], a, b)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, digest, ids = (batch.column(c).to_numpy() for c in ("key", "digest", "id"))
-            n, sketch = batch.column("n").to_numpy(), _sketches(batch.column("sketch"))
-            first = np.ones(len(key), bool)  # of equal window sets only the smallest id takes part
-            first[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-            first[0] = key[0] != last_key or digest[0] != last_digest
-            last_key, last_digest = key[-1], digest[-1]
-            key, ids, n, sketch = key[first], ids[first], n[first], sketch[first]
+            key, block, side, ids, n = (batch.column(c).to_numpy() for c in ("key", "block", "side", "id", "n"))
+            part = (key, block, side, ids, n, _sketches(batch.column("sketch")))
             if hot_key is not None:
-                more = key == hot_key
+                more = (key == hot_key) & (block == -1)
                 if more.any():
-                    yield hot(key[more], ids[more], n[more], sketch[more])
-                    key, ids, n, sketch = key[~more], ids[~more], n[~more], sketch[~more]
-                if not len(key):
+                    yield hot(key[more], ids[more], n[more], part[5][more])
+                    part = tuple(x[~more] for x in part)
+                if not len(part[0]):
                     continue
                 hot_key = None
-            if not len(key):
-                continue
-            held.append((key, ids, n, sketch))
-            key, ids, n, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[starts, len(key)])
-            big = np.repeat(size > max_trie, size)
+            held.append(part)
+            part = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else part
+            held = []
+            starts = starts_of(part[0], part[1])
+            size = np.diff(np.r_[starts, len(part[0])])
+            big = np.repeat((size > max_trie) & (part[1][starts] == -1), size)
             if big.any():
-                yield hot(key[big], ids[big], n[big], sketch[big])
+                yield hot(part[0][big], part[3][big], part[4][big], part[5][big])
                 if big[-1]:
-                    hot_key = key[-1]
-                key, ids, n, sketch = key[~big], ids[~big], n[~big], sketch[~big]
-            held = []
-            if len(key):
-                open_at = int(np.searchsorted(key, key[-1])) if hot_key is None else len(key)
+                    hot_key = part[0][-1]
+                part = tuple(x[~big] for x in part)
+            if len(part[0]):
+                open_at = len(part[0]) if hot_key is not None else int(starts_of(part[0], part[1])[-1])
                 if open_at >= 20_000 or hot_key is not None:
-                    yield from walk(key[:open_at], ids[:open_at], n[:open_at], sketch[:open_at])
-                    key, ids, n, sketch = key[open_at:], ids[open_at:], n[open_at:], sketch[open_at:]
-                if len(key):
-                    held = [(key, ids, n, sketch)]
+                    yield from walk(*(x[:open_at] for x in part))
+                    part = tuple(x[open_at:] for x in part)
+                if len(part[0]):
+                    held = [part]
         if held:
-            yield from walk(*held[0])
+            yield from walk(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return rows.mapInArrow(run, "hot boolean, a long, b long, n int, sketch binary")
 
 
-def _blocks(hot: DataFrame, factor: float, block: int) -> DataFrame:
-    """Tries that were too large: cut into blocks of about `block` rows by a hash of the id; every pair of blocks is one group."""
-    sizes = hot.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _blocks(hot: DataFrame, block: int) -> DataFrame:
+    """Keys of tries that were too large, cut into blocks of about `block` rows by a hash of the id: a row for each pair of blocks that a row's block is in."""
+    sizes = hot.groupBy("b").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     mine = F.pmod(F.xxhash64("a"), F.col("blocks"))
-    rows = hot.join(sizes, "b").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)").cast("array<long>")))
-    rows = rows.select("b", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("tinyint").alias("side"), "a", "n", "sketch")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def walk(t: pa.Table):
-            ids, side = t.column("a").to_numpy(), t.column("side").to_numpy()
-            if t.column("i")[0].as_py() != t.column("j")[0].as_py() and side.min() == side.max():
-                return
-            a, b = trie_join(np.zeros(len(ids), np.int64), side, t.column("n").to_numpy(), _sketches(t.column("sketch").combine_chunks()), factor)
-            if len(a):
-                yield _pairs(ids, a, b)
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            k = np.c_[[held.column(c).to_numpy() for c in ("b", "i", "j")]].T
-            ends = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=False):
-                yield from walk(held.slice(lo, hi - lo).combine_chunks())
-            if len(ends):
-                held = held.slice(ends[-1]).combine_chunks()
-        if held is not None and held.num_rows:
-            yield from walk(held)
-
-    return rows.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j").mapInArrow(run, "hot boolean, a long, b long, n int, sketch binary").select("a", "b")
+    rows = hot.join(sizes, "b").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pair = F.shiftleft(F.least("mine", "other"), 32).bitwiseOR(F.greatest("mine", "other"))
+    return rows.select(F.col("b").alias("key"), pair.alias("block"), (F.col("mine") > F.col("other")).cast("tinyint").alias("side"), F.col("a").alias("id"), "n", "sketch")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, threshold: float | Fraction = Fraction(4, 5), max_trie: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -341,19 +370,22 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     = shared / total compared exactly. expand_pairs() turns both into pairs of records.
 
     Ids must be unique. Null ids or texts, and texts of fewer than `words` words, have no windows and take no part; an
-    empty table gives empty results; other columns are ignored, whatever their names.
+    empty table gives empty results; other columns are ignored, whatever their names. Jobs run when it is called: all but the exact check.
     """
     t = Fraction(threshold).limit_denominator(10_000)
     if not 0 < t <= 1 or words < 1:
         raise ValueError("0 < threshold <= 1 and words >= 1 are needed")
     factor = float((1 - t) / (1 + t))
     shingles = materialize(shingle_table(df, id_col, text_col, words), "shingles")
-    keys = sketch_keys(shingles, t)
-    walked = materialize(_joined(keys.repartition("key").sortWithinPartitions("key", "digest", "id"), factor, max_trie), "trie-pairs")
+    keyed = shingles.select("digest", "id")
+    classes = keyed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    members = materialize(keyed.join(classes, "digest").select("rep", "id"), "window-set-copies")
+    records = _without(shingles, members.where("id != rep").select("id"))
+    walked = materialize(_joined(sketch_keys(records, t, max_trie), factor, max_trie), "trie-pairs")
     pairs = walked.where("not hot").select("a", "b")
     hot = walked.where("hot").select("a", "b", "n", "sketch")
     if hot.limit(1).count():
-        pairs = pairs.unionByName(_blocks(hot, factor, max_trie))
+        pairs = pairs.unionByName(_joined(_blocks(hot, max_trie), factor, max_trie).select("a", "b"))
     pairs = materialize(pairs.distinct(), "candidates")
     # the exact check, on the windows of the records that have a candidate
     ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "candidate-ids")
@@ -362,8 +394,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, *, words: int = 5
     common = F.size(F.array_intersect("wa", "wb")).cast("long")
     scored = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("shared"), (F.size("wa") + F.size("wb") - common).alias("total"))
     scored = scored.where(F.col("shared") * t.denominator >= F.col("total") * t.numerator)
-    classes = shingles.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    return scored, shingles.select("digest", "id").join(classes, "digest").select("rep", "id")
+    return scored, members
+
+
+def _without(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records of other ids: the ids are broadcast if there are at most BROADCAST_ROWS, else the records are shuffled once and written."""
+    n = ids.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return records
+    if n <= BROADCAST_ROWS:
+        return records.join(F.broadcast(ids), "id", "left_anti")
+    return materialize(records.join(ids, "id", "left_anti"), "distinct-records")
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -84,6 +84,52 @@ def test_many_copies_make_one_class(spark):
     assert expand_pairs(pairs, members).count() == 399
 
 
+def test_heavy_windows_are_cut_before_the_shuffle(spark, monkeypatch):
+    """Records that hold the same windows beyond their prefixes, more than a trie may have; and an order by levels alone."""
+    import corvane.llm.near_duplicates as nd
+
+    rng = np.random.default_rng(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [common + " " + " ".join(f"w{x}" for x in rng.integers(0, 40, 12)) for _ in range(120)] + [" ".join(f"u{i}x{j}" for j in range(20)) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(3)
+    want = jaccard_model(texts, 3, 0.5)
+    assert len(want) > 5000
+    cut = []
+    for share in (1 / 2000, 2.0):  # known before the shuffle, or found after it
+        monkeypatch.setattr(nd, "HEAVY", share)
+        keys = nd.sketch_keys(nd.shingle_table(df, "doc", "text", 3), nd.Fraction(1, 2), 16)
+        cut.append(keys.where("block >= 0").count())
+        pairs, members = near_duplicates(df, "doc", "text", words=3, threshold=0.5, max_trie=16)
+        assert {(r.id_a, r.id_b): (r.shared, r.total) for r in expand_pairs(pairs, members).collect()} == want
+    assert cut[0] > 0 and cut[1] == 0
+
+
+def test_levels_follow_the_frequency(spark, monkeypatch):
+    import corvane.llm.near_duplicates as nd
+
+    monkeypatch.setattr(nd, "HEAVY", 2.0)
+    df = spark.range(6000).select("id", F.concat_ws(" ", F.lit("often"), F.concat(F.lit("some"), F.col("id") % 200), F.concat(F.lit("once"), F.col("id"))).alias("text"))
+    (again, *levels), heavy = nd.window_statistics(nd.shingle_table(df, "id", "text", 1))
+    words = nd.WordHasher()(["often", *(f"some{i}" for i in range(200)), *(f"once{i}" for i in range(6000))])
+    h = nd.mix64(words)
+    level = sum(nd._bit(t, nd._cells(h, nd.LEVEL_BITS)).astype(int) for t in levels)
+    assert not heavy and level[0] >= 2 and level[1:201].mean() > 0.3 and level[201:].max() == 0
+    assert nd._bit(again, nd._cells(h, nd.CELL_BITS))[:201].all() and nd._bit(again, nd._cells(h, nd.CELL_BITS))[201:].mean() < 0.01
+
+
+def test_one_window_in_a_third_of_all_records(spark):
+    """33,000 of 100,000 records share windows with each other that aren't enough for a link, and thousands are copies."""
+    shared = " ".join(f"s{i}" for i in range(12))
+    own = F.concat_ws(" ", *(F.concat(F.lit(f"o{j}x"), F.floor(F.col("id") / 2)) for j in range(14)))
+    text = F.when(F.col("id") % 9 == 0, F.lit(shared)).when(F.col("id") % 3 == 0, F.concat_ws(" ", F.lit(shared), own)).otherwise(own)
+    df = spark.range(100_000).select("id", text.alias("text"))
+    pairs, members = near_duplicates(df, "id", "text", words=3, threshold=0.8)
+    # all records of a pair 2k, 2k + 1 hold the same own words; those of neither shared words are copies of each other
+    assert members.where("rep = 0").count() == 11_112
+    plain = [i for i in range(0, 100_000, 2) if i % 3 and (i + 1) % 3]
+    assert members.where("rep != 0").count() == 2 * len(plain) and pairs.count() == 0
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_trie_walk_against_all_pairs(two):
     rng = np.random.default_rng(3)
