@@ -1,13 +1,17 @@
 """Problem 3: visually identical text with different characters.
 
-In SQL, apart from the canonical decomposition of texts that aren't ASCII: one translate() maps look-alike letters, width forms and blanks and deletes invisible characters,
-ligatures are replaced, and the mapped values are grouped under the accent- and case-sensitive Unicode
-collation, which makes composed and decomposed accents equal. Each class gets a canonical member, joined back
-to all its records.
+In SQL, one translate() maps look-alike letters, width forms and blanks and deletes invisible characters, and ligatures are
+replaced; what isn't ASCII then is composed (NFC). The mapped values are grouped under the accent- and case-sensitive Unicode
+collation. Each class gets a canonical member, joined back to all its records.
+
+The collation alone calls more equal than looks equal: at its strength the digits of all scripts are one, and so are bold and italic
+mathematical letters. So an exact check follows, and a class holds the texts of one composed form. The first partition is by
+the form without any mark, decomposed: a function of the composed form, so it never parts two texts of a class, in any script.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -17,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import checked_semi, column, materialize
 
-# Look-alike letters of Cyrillic and Greek, and the Latin letters they look like.
+# Look-alike letters of Cyrillic and Greek, and the Latin letters they look like in usual fonts. Left out are letters that
+# only resemble a Latin one of the other case or of another script's style, such as small Cyrillic er with tick or Greek eta.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -26,94 +31,93 @@ LOOK_ALIKES = {
 }
 #: Latin ligatures and the letters they join.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-#: Format characters and variation selectors, which show nothing.
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
+# Format characters show nothing, but for the signs that enclose the digits after them (fixed values); nor do variation selectors, fillers and joiners (fixed values).
+_SHOWN = {0x600, 0x601, 0x602, 0x603, 0x604, 0x605, 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
+_HIDDEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+INVISIBLE = "".join(sorted({chr(cp) for cp in range(0x110000) if unicodedata.category(chr(cp)) == "Cf" and cp not in _SHOWN} | set(map(chr, _HIDDEN))))
 #: Blanks that stand for one space.
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=1)
 def _rules() -> dict[str, str]:
-    """Single characters and their replacements; composed letters of look-alikes and width forms follow by rule."""
+    """Single characters and their replacements; width forms follow by rule."""
     rules = dict(LOOK_ALIKES) | {c: " " for c in BLANKS}
-    for cp in range(0xFF00, 0xFFF0):  # width forms
+    for cp in range(0xFF00, 0xFFF0):
         to = unicodedata.normalize("NFKC", chr(cp))
-        if len(to) == 1 and to != chr(cp):
+        if len(to) == 1 and to != chr(cp) and chr(cp) not in INVISIBLE:
             rules.setdefault(chr(cp), to)
-    for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):  # a look-alike with an accent is the Latin letter with that accent
-        apart = unicodedata.normalize("NFD", chr(cp))
-        if len(apart) > 1 and apart[0] in LOOK_ALIKES:
-            together = unicodedata.normalize("NFC", LOOK_ALIKES[apart[0]] + apart[1:])
-            if len(together) == 1:
-                rules[chr(cp)] = together
     return rules
 
 
-def _bare_rules() -> tuple[dict[str, str], str]:
-    """For the first partition: every composed letter loses its marks, and the marks themselves go."""
-    marks = [chr(cp) for a, z in ((0x300, 0x370), (0x483, 0x488), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100), (0x3099, 0x309B), (0xFE20, 0xFE30)) for cp in range(a, z) if unicodedata.combining(chr(cp))]
-    rules = _rules()
-    bare = dict(rules)
-    for cp in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0x3040, 0x3100)):
-        apart = unicodedata.normalize("NFD", rules.get(chr(cp), chr(cp)))
-        if len(apart) > 1 and unicodedata.combining(apart[1]):
-            bare[chr(cp)] = rules.get(apart[0], apart[0])
-    return bare, "".join(marks)
+#: Every combining mark.
+_MARKS = re.compile("[" + "".join(chr(cp) for cp in range(0x110000) if unicodedata.combining(chr(cp))) + "]+")
 
 
-def _translated(text: Column, rules: dict[str, str], drop: str) -> Column:
+def visible_form(text: Column) -> Column:
+    """The text with look-alikes, width forms, ligatures and blanks mapped and invisible characters gone; not yet composed."""
     for one, several in LIGATURES.items():
         text = F.replace(text, F.lit(one), F.lit(several))
-    return F.translate(text, "".join(rules) + drop, "".join(rules.values()))
+    return F.translate(text, "".join(_rules()) + INVISIBLE, "".join(_rules().values()))
 
 
-def _without_marks(text: pa.Array) -> pa.Array:
-    """NFD without combining marks, the same for all canonically equivalent texts."""
-    return pa.array([None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)) for x in text.to_pylist()], pa.string())
+_LETTERS, _OTHER_SCRIPTS = str.maketrans(LOOK_ALIKES), re.compile("[\u0370-\u052f]")
 
 
-def _bare(text: Column) -> Column:
-    """For the first partition: the visible form without any mark. ASCII texts, most of them, stay in SQL."""
-    rules, marks = _bare_rules()
-    bare = _translated(text, rules, INVISIBLE + marks)
-    return F.coalesce(_translated(F.arrow_udf(_without_marks, "string")(F.when(bare.rlike(r"[^\x00-\x7F]"), bare)), rules, INVISIBLE + marks), bare)
+def _apart(text: str) -> str:
+    """Decomposed, so that a look-alike under an accent is mapped like one without."""
+    text = unicodedata.normalize("NFD", text)
+    return text.translate(_LETTERS) if _OTHER_SCRIPTS.search(text) else text
 
 
-def visible_form(text: Column) -> Column:
-    """The text with look-alikes, width forms, ligatures and blanks mapped and invisible characters gone; accents are left to the collation."""
-    return _translated(text, _rules(), INVISIBLE)
+def _compose(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unicodedata.normalize("NFC", _apart(x)) for x in text.to_pylist()], pa.string())
+
+
+def _without_marks(text: pa.Array) -> pa.Array:
+    """Decomposed and without combining marks, the same for all texts of one composed form."""
+    return pa.array([None if x is None else _MARKS.sub("", _apart(x)) for x in text.to_pylist()], pa.string())
+
+
+def _beyond_ascii(f, text: Column) -> Column:
+    """f of a text that isn't ASCII, in Arrow batches; ASCII texts, most of them, have nothing to compose and stay in SQL."""
+    return F.coalesce(F.arrow_udf(f, "string")(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-def look_alike_classes(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(key, text, canonical): every record whose text looks the same as another record's different text.
+def look_alike_classes(df: DataFrame, key_col: str, text_col: str, *, by: str | None = None) -> DataFrame:
+    """([by,] key, text, canonical): every record whose text looks the same as another record's different text.
 
     canonical is the class's smallest text by its UTF-8 bytes, so the same for the same set of texts. Classes of one text, however
     often it occurs, are not part of the result. Null texts, and texts of nothing but blanks and invisible
     characters, take no part; null keys are kept. Letter case, accents, punctuation, the number of blanks, tabs and line
-    breaks stay different. Other columns are ignored.
+    breaks stay different. `by` names a column whose values part the records into collections that are looked at each for itself, in one
+    pass. Other columns are ignored. Jobs run when it is called.
     """
-    base = df.select(column(df, key_col).alias("key"), column(df, text_col).alias("text"))
-    bare = _bare(F.col("text"))
-    # First partition, 16 bytes a record: texts equal without any accent. Only classes of several different texts go on.
-    digests = base.where("text is not null").select(F.xxhash64(bare).alias("h"), F.xxhash64("text").alias("t"), (F.trim(F.regexp_replace(bare, r"\s", "")) == "").alias("blank"))
-    several = digests.where("not blank").groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi")
-    several = materialize(several.select("h"), "look-alike-classes")
-    candidates = checked_semi(base.where("text is not null").withColumn("h", F.xxhash64(bare)), several, "h")
-    texts = candidates.groupBy("text").agg(F.first("h").alias("h"))
-    mapped = texts.withColumn("form", F.collate(visible_form(F.col("text")), "UNICODE"))
-    classes = mapped.groupBy("form").agg(F.min("text").alias("canonical"), F.count("*").alias("texts")).where("texts > 1").select("form", "canonical")
-    members = mapped.join(classes, "form").select("text", "canonical")
-    return materialize(candidates.select("key", "text").join(members, "text"), "look-alikes")
+    group = ["by"] if by is not None else []
+    base = df.select(*([column(df, by).alias("by")] if group else []), column(df, key_col).alias("key"), column(df, text_col).alias("text")).where("text is not null")
+    visible = base.withColumn("form", visible_form(F.col("text")))
+    h = F.xxhash64(*group, _beyond_ascii(_without_marks, F.col("form")))
+    # First partition, 16 bytes a record. Only classes of several different texts go on.
+    digests = visible.where(F.col("form").rlike(r"\S")).select(h.alias("h"), F.xxhash64("text").alias("t"))
+    several = digests.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi")
+    several = materialize(several.select("h"), "look-alike-partitions")
+    candidates = materialize(checked_semi(visible.withColumn("h", h), several, "h").select(*group, "key", "text"), "look-alike-candidates")
+    texts = candidates.select(*group, "text").distinct().withColumn("form", _beyond_ascii(_compose, visible_form(F.col("text"))))
+    mapped = texts.withColumn("class", F.collate("form", "UNICODE"))
+    classes = mapped.groupBy(*group, "class", "form").agg(F.min("text").alias("canonical"), F.count("*").alias("texts")).where("texts > 1")
+    members = mapped.drop("class").join(classes.select(*group, "form", "canonical"), [*group, "form"]).select(*group, "text", "canonical")
+    return materialize(candidates.join(members, [*group, "text"]).select(*group, "key", "text", "canonical"), "look-alikes")
 
 
 def look_alike_pairs(classes: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: the pairs of records of one class whose texts differ.
+    """([by,] key_a, key_b), key_a < key_b: the pairs of records of one class whose texts differ.
 
     Texts are paired first and records joined to them, so records with equal texts never meet each other.
     """
-    texts = classes.select("canonical", "text").distinct()
-    a, b = (texts.select("canonical", F.col("text").alias(f"text_{x}")) for x in "ab")
-    pairs = a.join(b, "canonical").where("text_a < text_b").select("text_a", "text_b")
+    group = ["by"] if "by" in classes.columns else []
+    texts = classes.select(*group, "canonical", "text").distinct()
+    a, b = (texts.select(*group, "canonical", F.col("text").alias(f"text_{x}")) for x in "ab")
+    pairs = a.join(b, [*group, "canonical"]).where("text_a < text_b").select(*group, "text_a", "text_b")
     for x in "ab":
-        pairs = pairs.join(classes.select(F.col("text").alias(f"text_{x}"), F.col("key").alias(f"k{x}")), f"text_{x}")
-    return pairs.where("ka != kb").select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+        pairs = pairs.join(classes.select(*group, F.col("text").alias(f"text_{x}"), F.col("key").alias(f"k{x}")), [*group, f"text_{x}"])
+    return pairs.where("ka != kb").select(*group, F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .formatting_duplicates import formatting_duplicates
-from .look_alikes import INVISIBLE, LIGATURES, _rules, look_alike_classes, look_alike_pairs
+from .look_alikes import look_alike_classes, look_alike_pairs
 from .mixing import mix_sources
 from .near_duplicates import expand_pairs, near_duplicates
 from .nearest_vectors import nearest_vectors
@@ -42,9 +42,9 @@ def p2_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    titles = look_alike_pairs(look_alike_classes(_read(spark, d, "docs").dropDuplicates(["id", "title"]), "id", "title"))
-    texts = look_alike_pairs(look_alike_classes(_read(spark, d, "chunks"), "chunk_id", "canonical_text"))
-    return titles.select(F.lit("title").alias("field"), "key_a", "key_b").unionByName(texts.select(F.lit("canonical_text").alias("field"), "key_a", "key_b"))
+    titles = _read(spark, d, "docs").select(F.lit("title").alias("field"), F.col("id").alias("k"), F.col("title").alias("v")).distinct()
+    texts = _read(spark, d, "chunks").select(F.lit("canonical_text").alias("field"), F.col("chunk_id").alias("k"), F.col("canonical_text").alias("v"))
+    return look_alike_pairs(look_alike_classes(titles.unionByName(texts), "k", "v", by="field")).withColumnRenamed("by", "field")
 
 
 def chunk_vectors(chunks: DataFrame, cache: DataFrame, *, model: str = "floor-64/v1", dim: int = 64) -> DataFrame:
@@ -132,15 +132,30 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
 
 
-def _sql_string(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+# The look of a text in SQL, written out for itself: it shares nothing with the operator's tables. Letters stand above those they look like.
+_SEEN = "АВЕКМНОРСТУХІЈЅԚԜ" + "аеорсухіјѕһԁԛԝ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "οναιρυϲϳ"
+_LATIN = "ABEKMHOPCTYXIJSQW" + "aeopcyxijshdqw" + "ABEZHIKMNOPTYX" + "ovaipucj"
+_HALF_KANA = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ｡｢｣､･"
+_FULL_KANA = "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン\u3099\u309a。「」、・"
+
+
+#: Look-alikes under an accent, and the mark, as code point, that the letter below them carries.
+_ACCENTED = [("ЁёЇїӒӓӦӧӰӱΪΫϊϋ", "ЕеІіАаОоУуΙΥιυ", 776), ("ЀѐЍ", "ЕеИ", 768), ("ӐӑӖӗЎў", "АаЕеУу", 774), ("Ӯӯ", "Уу", 772), ("Ӳӳ", "Уу", 779), ("ЌΆΈΉΊΌΎάίόύ", "КΑΕΗΙΟΥαιου", 769)]
 
 
 def _form_sql(text: str) -> str:
-    rules = _rules()
-    for one, several in LIGATURES.items():
-        text = f"replace({text}, {_sql_string(one)}, '{several}')"
-    return f"nfc_normalize(translate({text}, {_sql_string(''.join(rules) + INVISIBLE)}, {_sql_string(''.join(rules.values()))}))"
+    """Letters under accents are taken apart, all is mapped, and composed again; full-width ASCII is 65248 code points above ASCII."""
+    for one, several in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st")):
+        text = f"replace({text}, '{one}', '{several}')"
+    for whole, bare, mark in _ACCENTED:
+        text = f"regexp_replace({text}, '([{whole}])', '\\1' || chr({mark}), 'g')"
+        text = f"translate({text}, '{whole}', '{bare}')"
+    points = lambda head, *spans: f"(select string_agg(chr(i::int), '' order by i) from (select unnest([{head}]::bigint[]{''.join(f' || range({a}, {z})' for a, z in spans)}) i))"
+    wide, narrow = points("", (65281, 65375)), points("", (33, 127))
+    blanks = points("160, 5760, 8239, 8287, 12288", (8192, 8203))
+    hidden = points("173, 847, 1564, 4447, 4448, 6068, 6069, 6158, 12644, 65279, 65440", (8203, 8208), (8234, 8239), (8288, 8293), (8294, 8304), (65024, 65040))
+    letters = f"translate(translate({text}, '{_SEEN}', '{_LATIN}'), '{_HALF_KANA}', '{_FULL_KANA}')"
+    return f"nfc_normalize(translate(translate(translate({letters}, {wide}, {narrow}), {blanks}, repeat(' ', 16)), {hidden}, ''))"
 
 
 _POSTINGS = "p as (select ordinal, term, max(tf) tf from postings where tf >= 1 and term is not null and ordinal is not null group by 1, 2)"

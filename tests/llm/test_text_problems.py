@@ -239,13 +239,36 @@ def test_look_alikes(spark):
 
 
 def test_canonical_forms_of_other_scripts_look_alike(spark):
-    pairs = [("\uac01", "\u1100\u1161\u11a8"), ("\u0622", "\u0627\u0653"), ("\u0958", "\u0915\u093c"), ("\u212b", "A\u030a")]
+    pairs = [("\uac01", "\u1100\u1161\u11a8"), ("\u0622", "\u0627\u0653"), ("\u0958", "\u0915\u093c"), ("\u212b", "A\u030a"), ("ｶﾞｲﾄﾞ", "ガイド"), ("ﾊﾟ", "ハ\u309a"), ("a\u0323\u0302", "a\u0302\u0323"), ("\u05e9\u05c1", "\ufb2a"), ("\u09cb", "\u09c7\u09be"), ("Ё", "E\u0308")]
     rows = [(f"{side}{i}", f"x {p[j]} y") for i, p in enumerate(pairs) for j, side in enumerate("ab")]
     got = {(r.key_a, r.key_b) for r in look_alike_pairs(look_alike_classes(spark.createDataFrame(rows, "k string, t string"), "k", "t")).collect()}
     print(f"p3 canonical pairs {len(got)} of {len(pairs)}")
     assert got == {(f"a{i}", f"b{i}") for i in range(len(pairs))}
 
 
+def test_what_the_collation_confuses_stays_apart(spark):
+    rows = list(enumerate(["5", "\u0665", "\u096b", "\U0001d7d3", "\U0001d400", "\U0001d434", "\u2776", "\u2460"]))
+    assert look_alike_classes(spark.createDataFrame(rows, "k long, t string"), "k", "t").count() == 0
+
+
+def test_equivalents_of_all_scripts_meet(spark):
+    """Composed, decomposed, reordered and narrow forms of random strings over all assigned characters, in two collections."""
+    import unicodedata
+
+    rng = np.random.default_rng(11)
+    pool = [chr(c) for c in range(0x21, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cc")]
+    composed = [c for c in pool if unicodedata.normalize("NFD", c) != c]
+    narrow = [chr(c) for c in range(0xFF61, 0xFF9F)]
+    rows = []
+    for i in range(600):
+        text = "".join(rng.choice(pool, 3)) + "".join(rng.choice(composed, 3)) + "".join(rng.choice(narrow, 2)) + f" {i}"
+        wide = "".join(unicodedata.normalize("NFKC", c) if c in narrow else c for c in text)
+        forms = {text, unicodedata.normalize("NFC", text), unicodedata.normalize("NFD", text), unicodedata.normalize("NFD", wide), unicodedata.normalize("NFC", wide)}
+        rows += [("xy"[i % 2], i, f"{i}-{j}", t) for j, t in enumerate(sorted(forms))]
+    got = look_alike_classes(spark.createDataFrame(rows, "part string, i long, k string, t string"), "k", "t", by="part")
+    assert {r.key for r in got.collect()} == {r[2] for r in rows} and got.select("by", "canonical").distinct().count() == 600
+
+
 def test_accented_look_alikes(spark):
     rows = [("a", "Ёлка"), ("b", "Ëлкa"), ("c", "Ёлка"), ("d", "Елка")]
     got = {r.key for r in look_alike_classes(spark.createDataFrame(rows, "k string, t string"), "k", "t").collect()}
