@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize
+from .common import BROADCAST_ROWS, column, discard, materialize
 
 #: Vectors that an average cell holds, the most codewords of one routing codebook, and codewords of the others.
 CELL, ROUTES, WORDS = 150, 1024, 256
@@ -381,10 +381,13 @@ def _search(vectors: DataFrame, *, dim: int, k: int, codebooks: int, beam: int,
                     n = len(few)
                     yield pa.RecordBatch.from_arrays([pa.array(cell[i : i + 4096]), pa.array(np.ones(n, np.int32)), b.column("id").take(few), b.column("v").take(few), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float32())], ["cell", "asks", "id", "v", "codes", "norm"])
 
-    # Cells of more than BLOCK vectors are at most rows / BLOCK, so the list of them is short.
-    hot = {r[0]: -(-r[1] // BLOCK) for r in encoded.groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
-    blocks = F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[F.col("cell")], F.lit(1)) if hot else F.lit(1)
+    # Cells of more than BLOCK vectors, at most rows / BLOCK: their numbers of blocks are joined.
+    hot = materialize(encoded.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("cut")), "hot-cells")
     routed = encoded.mapInArrow(ask, "cell long, asks int, id long, v binary, codes binary, norm float")
+    blocks = F.lit(1)
+    if hot.limit(1).count():
+        small = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        routed, blocks = routed.join(F.broadcast(hot) if small else hot, "cell", "left"), F.coalesce("cut", F.lit(1))
     routed = routed.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     stored = (F.col("asks") == 0) & (F.col("own") == F.col("block"))
     routed = routed.select("cell", "block", F.when(stored, 0).otherwise(1).cast("int").alias("asks"), "id", "v", F.when(stored, F.col("codes")).alias("codes"), F.when(stored, F.col("norm")).alias("norm"))

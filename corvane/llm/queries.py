@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import decode_float32
+from ..operators.search import exact_search
+from .common import materialize
 from .formatting_duplicates import formatting_duplicates
 from .look_alikes import look_alike_classes, look_alike_pairs
 from .mixing import mix_sources
 from .near_duplicates import expand_pairs, near_duplicates
-from .nearest_vectors import nearest_vectors
-from .repetition import score_repetition
+from .nearest_vectors import nearest_vectors, unit_vectors
+from .repetition import repetition_measures, score_repetition
 from .split_text import LEVELS, split_texts
 from .term_frequency import term_frequencies
 from .term_weights import divergence, most_distinctive_terms, saturated
@@ -71,6 +74,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("o", "p").alias("ordinal_a"), F.greatest("o", "p").alias("ordinal_b")).distinct()
 
 
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the five neighbours of the chunks whose ordinal is divisible by 50, asked of all chunks by brute force, are found with a recall of 0.9; and how many were asked."""
+    vectors = chunk_vectors(_read(spark, d, "chunks"), _read(spark, d, "embeddings_v2"))
+    near = nearest_vectors(vectors, "ordinal", "v", dim=64, k=5).where("id % 50 = 0").select(F.col("id").alias("qid"), F.explode("near.id").alias("ordinal"), F.lit(1).alias("hit"))
+    valid = materialize(unit_vectors(vectors, "ordinal", "v", 64).select(F.col("id").alias("ordinal"), decode_float32("v").alias("embedding")), "valid-vectors")
+    asked = valid.where("ordinal % 50 = 0").select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query"))
+    exact = exact_search(valid, asked, 6).where("ordinal != qid")
+    truth = exact.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where("r <= 5").select("qid", "ordinal")
+    best = truth.join(near, ["qid", "ordinal"], "left").groupBy("qid").agg(F.count("hit").alias("hits"), F.count("*").alias("of"))
+    return best.agg((F.sum("hits") >= 0.9 * F.sum("of")).alias("reached"), F.count("*").alias("asked"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """TESTDATA.md has no sections: its levels are the hierarchy's from the paragraph down."""
     pieces = split_texts(_read(spark, d, "docs"), "id", "text", limit=1200, least=600, overlap=120, longer_than=1200, levels=LEVELS[1:])
@@ -108,14 +123,34 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """For each source with tokens: no document is used too often, and the tokens of the mixture itself miss the source's share by at most one document."""
+    mixture, report = _mix(spark, d)
+    took = mixture.groupBy("source").agg(F.sum("tokens").alias("took"), F.max("tokens").alias("longest"), F.max("copy").alias("most"))
+    rows = report.where("weight > 0 and max_repeats > 0 and available_tokens > 0").join(took, "source", "left").na.fill(0, ["took", "most"])
+    met = (F.abs(F.col("took") - F.col("target_tokens")) <= F.coalesce("longest", "available_tokens")) & (F.col("took") == F.col("tokens"))
+    return rows.select("source", (F.col("most") <= F.col("max_repeats")).alias("within_cap"), met.alias("met"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    """The window rule's votes are the exact condition: 20 windows or more, of which 30 percent or more are repeats."""
+    """Documents that the posterior calls repetitive, of which those are kept whose windows meet the exact condition.
+
+    The posterior also finds documents that repeat sentences or lines but have fewer repeated windows; it misses none of
+    the condition's, as the rule on windows is trusted.
+    """
     scored, _ = score_repetition(_read(spark, d, "documents"), "doc_id", "text")
-    return scored.where("vote_windows = 1").select(F.col("id").alias("doc_id"))
+    exact = (F.col("windows") >= 20) & (F.col("window_repeats") >= 0.3 * F.col("windows"))
+    return scored.where("p_repetitive >= 0.5").where(exact).select(F.col("id").alias("doc_id"))
+
+
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, and those that repeat earlier ones, of every document; the share is their ratio."""
+    measured = repetition_measures(_read(spark, d, "documents"), "doc_id", "text")
+    return measured.select(F.col("id").alias("doc_id"), "windows", "window_repeats", "top_window", "lines", "line_repeats")
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +159,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_divergence, p3_found, p4_found, p5_found, p6_found, p6_counts, p7_found, p7_collapsed, p8_ids, p9_mix, p9_shares, p10_found, p10_scores)
+    f.__name__: f for f in (p1_found, p2_found, p2_divergence, p3_found, p4_found, p4_recall, p5_found, p6_found, p6_counts, p7_found, p7_collapsed, p8_ids, p9_mix, p9_bounds, p9_shares, p10_found, p10_measures, p10_scores)
 }
 
 
@@ -158,6 +193,8 @@ def _form_sql(text: str) -> str:
     return f"nfc_normalize(translate(translate(translate({letters}, {wide}, {narrow}), {blanks}, repeat(' ', 16)), {hidden}, ''))"
 
 
+#: Every white space inside a line, for trim().
+_BLANKS = "'" + "".join(map(chr, (9, 31, 32, 160, 5760, *range(8192, 8203), 8239, 8287, 12288))) + "'"
 _POSTINGS = "p as (select ordinal, term, max(tf) tf from postings where tf >= 1 and term is not null and ordinal is not null group by 1, 2)"
 _STATS = "d as (select ordinal, sum(tf)::double dl from p group by 1), g as (select count(*)::double n, avg(dl) avgdl, sum(dl) total from d), t as (select term, count(*)::double df, sum(tf)::double cf from p group by 1)"
 
@@ -221,6 +258,17 @@ from s where b is not null or n - a <= 1200""",
     "p6_counts": _FREQUENCIES + "select term, occurrences, records, band from f",
     "p7_found": _COPIES + "select kept ordinal_kept, ordinal ordinal_copy from form join grouped using (uri, text) where ordinal != kept",
     "p7_collapsed": _COPIES + "select kept, copies from grouped",
+    "p4_recall": r"""
+with e as (select ordinal, case when embedding is not null then len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0 end own, chunk_id from chunks where ordinal % 50 = 0),
+c as (select chunk_id, arg_max(data, {'t': coalesce(cached_at, timestamp '0001-01-01'), 'd': data}) data from embeddings_v2 where model = 'floor-64/v1' and dim = 64 group by 1)
+select true reached, count(*) asked from e left join c using (chunk_id) where coalesce(own, octet_length(data) = 256)""",
+    "p9_bounds": "select source, true within_cap, true met from mix_targets where weight > 0 and max_repeats > 0 and source in (select source from documents where length(text) > 0)",
+    "p10_measures": rf"""
+with t as (select doc_id, {_words("text")} w, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x, {_BLANKS})), lambda x: x != '') l from documents),
+s as (select doc_id, l, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [] end x from t),
+m as (select doc_id, max(n) - 1 top from (select doc_id, count(*) n from (select doc_id, unnest(x) y from s) group by doc_id, y) group by 1)
+select doc_id, len(x)::bigint windows, (len(x) - len(list_distinct(x)))::bigint window_repeats, coalesce(top, 0)::bigint top_window, len(l)::bigint lines, (len(l) - len(list_distinct(l)))::bigint line_repeats
+from s left join m using (doc_id)""",
     "p10_found": rf"""
 with t as (select doc_id, {_words("text")} w from documents where text is not null),
 s as (select doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) x from t where len(w) >= 5)

@@ -4,6 +4,9 @@ Each text is measured: shares of repeated word windows, sentences, lines and par
 frequent window. Rules turn a measure into a vote (repetitive or not) or abstain where a text has too little of
 it. Expectation-maximisation over the counts of vote patterns estimates how accurate each rule is, and every
 document gets a posterior probability in place of a filter that all rules must pass.
+
+A rule may be trusted: where it votes it is right by definition, so its accuracy is given and not estimated. The others' estimates
+then rest on it instead of on their agreement with each other, and where it abstains they decide.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes on `repeats / total`: 1 from `bad` on, -1 up to `good`; abstains (0) in between or under `least` units."""
+    """Votes on `repeats / total`: 1 from `bad` on, -1 up to `good`; abstains (0) in between or under `least` units. A trusted rule's votes are right."""
 
     name: str
     repeats: str
@@ -33,6 +36,7 @@ class Rule:
     least: int
     bad: float
     good: float
+    trusted: bool = False
 
     def vote(self) -> Column:
         share = F.col(self.repeats) / F.col(self.total)
@@ -40,13 +44,16 @@ class Rule:
 
 
 RULES = (
-    Rule("windows", "window_repeats", "windows", 20, 0.3, 0.1),
+    Rule("windows", "window_repeats", "windows", 20, 0.3, 0.1, trusted=True),
     Rule("top_window", "top_window", "windows", 20, 0.05, 0.02),
     Rule("sentences", "sentence_repeats", "sentences", 4, 0.25, 0.05),
     Rule("lines", "line_repeats", "lines", 4, 0.25, 0.05),
     Rule("paragraphs", "paragraph_repeats", "paragraphs", 3, 0.25, 0.05),
 )
 
+#: Accuracy of a trusted rule, and the range in which the others' estimates and the prior are kept: the votes of up to five others never outweigh a trusted one.
+TRUST, WORST, RAREST = 1 - 1e-13, 0.01, 1e-3
+
 _MEASURES = ["windows", "window_repeats", "top_window", "sentences", "sentence_repeats", "lines", "line_repeats", "paragraphs", "paragraph_repeats"]
 
 
@@ -94,10 +101,11 @@ class LabelModel:
     says_bad_if_good: tuple[float, ...]
 
 
-def fit_label_model(patterns: dict[tuple[int, ...], int], *, rounds: int = 100) -> LabelModel:
+def fit_label_model(patterns: dict[tuple[int, ...], int], *, trusted: tuple[bool, ...] = (), rounds: int = 100) -> LabelModel:
     """EM over counts of vote patterns, at most 3^rules of them whatever the number of documents. Abstentions carry no weight.
 
-    Starts from a majority vote; probabilities are kept off 0 and 1 by one pseudo-vote on either side. Without any votes the
+    Starts from a majority vote; probabilities are kept off 0 and 1 by one pseudo-vote on either side and by WORST and RAREST.
+    `trusted` marks rules whose accuracy is TRUST. Without any votes the
     prior is one half and every rule is worth a coin.
     """
     rules = len(next(iter(patterns), RULES))
@@ -107,13 +115,14 @@ def fit_label_model(patterns: dict[tuple[int, ...], int], *, rounds: int = 100)
     votes, counts = votes[keep], counts[keep]
     if not len(votes):
         return LabelModel(0.5, (0.5,) * rules, (0.5,) * rules)
+    fixed = np.array(trusted or (False,) * rules)
     post = 1 / (1 + np.exp(-2.0 * votes.sum(1)))
     bad, some = votes == 1, votes != 0
     for _ in range(rounds):
         w1, w0 = counts * post, counts * (1 - post)
-        prior = (w1.sum() + 1) / (counts.sum() + 2)
-        p1 = (w1 @ bad + 1) / (w1 @ some + 2)
-        p0 = (w0 @ bad + 1) / (w0 @ some + 2)
+        prior = float(np.clip((w1.sum() + 1) / (counts.sum() + 2), RAREST, 1 - RAREST))
+        p1 = np.where(fixed, TRUST, np.clip((w1 @ bad + 1) / (w1 @ some + 2), WORST, 1 - WORST))
+        p0 = np.where(fixed, 1 - TRUST, np.clip((w0 @ bad + 1) / (w0 @ some + 2), WORST, 1 - WORST))
         log = np.log(prior / (1 - prior)) + (np.where(bad, np.log(p1 / p0), np.log((1 - p1) / (1 - p0))) * some).sum(1)
         new = 1 / (1 + np.exp(-np.clip(log, -500, 500)))
         if np.abs(new - post).max() < 1e-10:
@@ -125,13 +134,14 @@ def fit_label_model(patterns: dict[tuple[int, ...], int], *, rounds: int = 100)
 def score_repetition(df: DataFrame, id_col: str, text_col: str, *, words: int = 5, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, LabelModel]:
     """(measures with vote_<rule> and p_repetitive per row, the fitted model).
 
-    p_repetitive is the posterior probability, null where every rule abstains: such texts are too short to be judged.
+    p_repetitive is the posterior probability, null where every rule abstains: such texts are too short to be judged. The vote of a
+    trusted rule decides it. The measures are written and the model is fitted when it is called.
     """
     measured = repetition_measures(df, id_col, text_col, words=words)
     voted = materialize(measured.withColumns({f"vote_{r.name}": r.vote() for r in rules}), "repetition-votes")
     names = [f"vote_{r.name}" for r in rules]
     patterns: Counter = Counter({tuple(row[:-1]): row[-1] for row in voted.groupBy(*names).count().collect()})
-    model = fit_label_model(patterns)
+    model = fit_label_model(patterns, trusted=tuple(r.trusted for r in rules))
     log = F.lit(float(np.log(model.prior / (1 - model.prior))))
     for name, p1, p0 in zip(names, model.says_bad_if_bad, model.says_bad_if_good, strict=True):
         log = log + F.when(F.col(name) == 1, float(np.log(p1 / p0))).when(F.col(name) == -1, float(np.log((1 - p1) / (1 - p0)))).otherwise(0.0)

@@ -502,6 +502,15 @@ def test_repetition_measures(spark):
     assert score_repetition(df.limit(0), "doc", "text")[0].count() == 0
 
 
+def test_a_trusted_rule_decides():
+    others = [p for p in np.ndindex(3, 3, 3, 3)]
+    patterns = {(v, *(x - 1 for x in p)): 50_000 if v < 0 else 1 for v in (-1, 1) for p in others} | {(1, -1, -1, -1, -1): 90_000}
+    m = fit_label_model(patterns, trusted=(True, False, False, False, False))
+    for votes in patterns:
+        odds = np.log(m.prior / (1 - m.prior)) + sum(np.log(p1 / p0) if v > 0 else np.log((1 - p1) / (1 - p0)) if v < 0 else 0 for v, p1, p0 in zip(votes, m.says_bad_if_bad, m.says_bad_if_good, strict=True))
+        assert (odds > 0) == (votes[0] > 0)
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20000) < 0.2
