@@ -1,14 +1,15 @@
-"""Content addresses and digests. Row digests are native expressions; the corpus digest is a stream in ordinal order."""
+"""Content addresses and digests. Row digests are native expressions; digests of ordered tables are trees of leaves of bounded size."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 #: Tag that starts every chunk id's input, so that ids of different schemes never meet.
 CHUNK_DOMAIN = "corvane:chunk_id:v1\n"
 
@@ -44,17 +45,24 @@ def item_input_hash(text: Column | str, image_sha256: Column | str | None, label
     return F.concat(F.lit("sha256:"), F.sha2(whole, 256))
 
 
-def _stream(df: DataFrame, order: str, *columns: str) -> Iterable:
-    """Rows in order, one partition at a time on the driver."""
-    return df.select(order, *columns).orderBy(order).select(*columns).toLocalIterator(prefetchPartitions=True)
+#: Consecutive rows of one leaf of an ordered digest.
+LEAF_ROWS = 1 << 16
 
 
 def ordered_digest(df: DataFrame, order: str, column: str) -> str:
-    """SHA-256 of a string column's values, joined in order. Sequential by definition: values stream through the driver, none are kept."""
-    h = hashlib.sha256()
-    for (value,) in _stream(df, order, column):
-        h.update(value.encode())
-    return "sha256:" + h.hexdigest()
+    """SHA-256 of a string column's values, joined in the order of dense numbers from 0.
+
+    Up to LEAF_ROWS rows that is the digest of the whole. Beyond, each leaf of LEAF_ROWS consecutive rows is digested where it is, and
+    the same is done with the leaves' digests, so that no task and not the driver sees more than a leaf. Nothing depends on partitions.
+    """
+    rows = df.select(F.col(order).cast("long").alias("at"), F.col(column).alias("value"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "")
+        leaves = rows.groupBy(F.floor(F.col("at") / LEAF_ROWS).alias("at")).agg(F.sha2(joined, 256).alias("value"))
+        few = leaves.limit(2).collect()
+        if len(few) < 2:
+            return "sha256:" + (few[0].value if few else hashlib.sha256().hexdigest())
+        rows = materialize(leaves, "leaf-digests")
 
 
 def corpus_input_hash(df: DataFrame, order: str = "ordinal", column: str = "item_input_hash") -> str:
@@ -83,25 +91,17 @@ def fingerprint_hash(fingerprint: dict) -> str:
 
 
 def content_hash(chunks: DataFrame, vectors: DataFrame, contract: dict, provenance: dict) -> str:
-    """Digest of the decoded canonical content in ordinal order: ids, texts, spans, vectors, contract, provenance.
+    """Digest of the decoded canonical content in ordinal order: ids, texts, spans, vectors (single precision), contract, provenance.
 
     Indexes, graphs, blobs, spaces and encodings are not part of it, so adding or changing them never moves a citation.
     """
-    total = hashlib.sha256()
-
-    def section(name: str, payload) -> None:
-        h = hashlib.sha256()
-        for piece in payload:
-            h.update(len(piece).to_bytes(8, "little"))
-            h.update(piece)
-        total.update(len(name).to_bytes(4, "little") + name.encode() + h.digest())
-
-    import struct
-
-    section("canonical_text", (r[0].encode() for r in _stream(chunks, "ordinal", "canonical_text")))
-    section("chunk_ids", (r[0].encode() for r in _stream(chunks, "ordinal", "chunk_id")))
-    section("contract", [canonical_json(contract).encode()])
-    section("embeddings", (struct.pack(f"<{len(r[0])}f", *r[0]) for r in _stream(vectors, "ordinal", "embedding")))
-    section("provenance", [canonical_json(provenance).encode()])
-    section("spans", (f"{r[0]}\x00{r[1]}\x00{r[2]}".encode() for r in _stream(chunks, "ordinal", "source_uri", "byte_start", "byte_end")))
-    return "sha256:" + total.hexdigest()
+    def rows(df: DataFrame, *columns: str) -> str:
+        row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+        return ordered_digest(df.select("ordinal", row.alias("h")), "ordinal", "h")
+
+    sections = {
+        "chunks": rows(chunks, "chunk_id", "canonical_text", "source_uri", "byte_start", "byte_end"),
+        "embeddings": rows(vectors.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding")), "embedding"),
+        "contract": fingerprint_hash(contract), "provenance": fingerprint_hash(provenance),
+    }
+    return fingerprint_hash(sections)

@@ -22,24 +22,30 @@ def embedding_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
 
 
-def chunk_windows(df: DataFrame, text_col: str, *, max_chars: int = 512, overlap: int = 0) -> DataFrame:
-    """One row per window of `max_chars` characters: every column of df, chunk_no, canonical_text, byte_start, byte_end.
+def chunk_windows(df: DataFrame, text_col: str, *, max_chars: int = 512, overlap: int = 0, keep_text: bool = False) -> DataFrame:
+    """One row per window of `max_chars` characters: every column of df but the text, then the text, chunk_no, canonical_text, byte_start, byte_end.
 
     Windows advance by max_chars - overlap and stop with the first that reaches the text's end. Bytes are UTF-8.
-    Null and empty texts give no row. Narrow and native: no shuffle, no Python.
+    Null and empty texts give no row. Narrow and native: no shuffle, no Python. The text is cut once into pieces of one step, of which
+    windows are joined, so the work is in proportion to the text; keep_text = False leaves the text itself out of the windows' rows.
     """
     if max_chars < 1 or not 0 <= overlap < max_chars:
         raise ValueError("max_chars > 0 and 0 <= overlap < max_chars are needed")
     step = max_chars - overlap
-    t = F.col(text_col)
-    n = F.length(t)
-    count = F.when(n <= max_chars, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - max_chars) / step).cast("int"))
-    starts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
-    out = df.where(n > 0).select("*", F.posexplode(starts).alias("chunk_no", "_start"))
-    piece = F.substring(t, F.col("_start") + 1, F.lit(max_chars))
-    before = F.octet_length(F.substring(t, F.lit(1), F.col("_start"))).cast("long")
-    out = out.withColumns({"canonical_text": piece, "byte_start": before})
-    return out.withColumn("byte_end", F.col("byte_start") + F.octet_length("canonical_text")).drop("_start")
+    kept = [F.col("`" + c + "`") for c in df.columns if keep_text or c != text_col]
+    t = F.col("`" + text_col + "`")
+    pieces = df.where(F.length(t) > 0).select(*kept, F.length(t).alias("_n"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_pieces"))
+    # where each piece starts, as one running sum over their sizes
+    sizes = F.transform("_pieces", lambda p: F.octet_length(p).cast("long"))
+    first = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("end"))
+    starts = F.aggregate(sizes, first, lambda s, n: F.struct(F.array_append(s["at"], s["end"]).alias("at"), (s["end"] + n).alias("end")), lambda s: s["at"])
+    count = F.when(F.col("_n") <= max_chars, F.lit(1)).otherwise(F.lit(1) + F.ceil((F.col("_n") - max_chars) / step).cast("int"))
+    more = -(-max_chars // step)  # pieces that a window reaches into
+    window = lambda i: F.substring(F.array_join(F.slice("_pieces", i + 1, more), ""), 1, max_chars)
+    cut = pieces.withColumn("_starts", starts).withColumn("_cut", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_no"), window(i).alias("canonical_text"), F.get("_starts", i).alias("byte_start"))))
+    kept = [F.col("`" + c + "`") for c in df.columns if keep_text or c != text_col]
+    out = cut.select(*kept, F.explode("_cut").alias("_w")).select(*kept, "_w.*")
+    return out.withColumn("byte_end", F.col("byte_start") + F.octet_length("canonical_text"))
 
 
 def basename_stem(path: Column | str) -> Column:

@@ -117,9 +117,12 @@ def sign_test(pairs: DataFrame, sample: str = "sample", control: str = "control"
 
 
 def _bootstrap(diff: np.ndarray, seed: int) -> tuple[float, float, float]:
-    rng = np.random.default_rng(seed)
-    means = diff[rng.integers(0, len(diff), (RESAMPLES, len(diff)))].mean(1)
-    return (diff.mean(), *np.percentile(means, [2.5, 97.5]))
+    """Mean and the middle 95 percent of the means of RESAMPLES draws; the draws are taken in blocks of bounded size, in one stream of the seed."""
+    rng, means = np.random.default_rng(seed), []
+    rows = max(1, min(RESAMPLES, 4_000_000 // max(len(diff), 1)))
+    for at in range(0, RESAMPLES, rows):
+        means.append(diff[rng.integers(0, len(diff), (min(rows, RESAMPLES - at), len(diff)))].mean(1))
+    return (diff.mean(), *np.percentile(np.concatenate(means), [2.5, 97.5]))
 
 
 def bootstrap_delta(pairs: DataFrame, *, by: str | None = None, order: str = "qid", sample: str = "sample", control: str = "control", seed: int = 42) -> DataFrame:
@@ -155,11 +158,17 @@ def smallest_candidate(sizes: DataFrame) -> DataFrame:
 
 
 def stratified_pick(df: DataFrame, bucket: str, order: str, per_bucket: int) -> DataFrame:
-    """Every nth row of each bucket in order, at most per_bucket of them: n = max(1, floor(size / per_bucket))."""
-    w = Window.partitionBy(bucket)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / per_bucket))
-    return df.withColumn("_at", at).withColumn("_step", step).where((F.col("_at") % F.col("_step") == 0) & (F.col("_at") / F.col("_step") < per_bucket)).drop("_at", "_step")
+    """Every nth row of each bucket in order, at most per_bucket of them: n = max(1, floor(size / per_bucket)). `order` must be unique.
+
+    A bucket of any size is spread over ranges of (bucket, order): rows are numbered over all ranges, and a bucket's first number is taken off.
+    """
+    numbered = dense_index(df, [bucket, order], "_i")
+    sizes = df.groupBy(bucket).agg(F.count("*").alias("_size"), F.min(order).alias(order))
+    firsts = numbered.select(order, F.col(bucket).alias("_b"), F.col("_i").alias("_first")).join(sizes.select(order, F.col(bucket).alias("_b2"), "_size"), order).where("_b <=> _b2").select("_b", "_first", "_size")
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / per_bucket))
+    at = F.col("_i") - F.col("_first")
+    picked = numbered.join(firsts, F.col(bucket).eqNullSafe(F.col("_b"))).where((at % step == 0) & (at / step < per_bucket))
+    return picked.select(*df.columns)
 
 
 def quality_ladder(scores: DataFrame, *, floor_p10: float, floor_min: float, drift_floor_p10: float = -1.0) -> DataFrame:

@@ -5,7 +5,6 @@ Encoding and decoding media needs external programs and is left to plug-ins; wha
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -56,21 +55,22 @@ def blob_by_uri(blobs: DataFrame, uri: str) -> bytes:
 
 
 def export_blobs(blobs: DataFrame, folder: str) -> int:
-    """Write inlined blobs to a folder that all executors share, under safe names, after proving their hashes. Returns how many."""
+    """Write inlined blobs to a folder of any file system, under safe names, after proving their hashes. Returns how many. An export is for a selection: blobs are written one by one."""
     bad = broken_blobs(blobs).limit(1).collect()
     if bad:
         raise ValidationError(f"blob {bad[0]['blob_index']} doesn't have its recorded hash; nothing was written")
     safe = F.regexp_replace(F.element_at(F.split(F.regexp_replace("original_uri", r"[\\]", "/"), "/"), -1), r"[^\w.-]|^\.+", "_")
     rows = blobs.where("inlined").select(F.concat(F.lpad(F.col("blob_index").cast("string"), 6, "0"), F.lit("-"), safe).alias("name"), "data")
 
-    def write(part):
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            with open(os.path.join(folder, os.path.basename(r["name"])), "wb") as f:
-                f.write(r["data"])
-
-    rows.foreachPartition(write)
-    return rows.count()
+    spark, written = blobs.sparkSession, 0
+    fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in rows.toLocalIterator():  # a blob at a time through the driver's file system, which knows every scheme that Spark reads
+        p = fs_of(f"{folder.rstrip('/')}/{r['name']}")
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+        out.write(bytearray(r["data"]))
+        out.close()
+        written += 1
+    return written
 
 
 def stream_segments(frames: DataFrame, shard_size: int, *, position: str = "position") -> DataFrame:
@@ -86,10 +86,10 @@ def segment_offsets(segments: DataFrame) -> DataFrame:
 
 
 def inverse_permutation(order: DataFrame) -> DataFrame:
-    """(ordinal, position) of (position, ordinal) rows; refuses what isn't a permutation."""
-    bad = order.groupBy("ordinal").count().where("count > 1").limit(1).count()
-    if bad:
-        raise ValidationError("an item has two positions")
+    """(ordinal, position) of (position, ordinal) rows; both must be 0..n-1, each once, else it is no permutation."""
+    n, *found = order.agg(F.count("*"), *(f(c) for c in ("position", "ordinal") for f in (F.min, F.max, F.countDistinct))).first()
+    if n and found != [0, n - 1, n] * 2:
+        raise ValidationError("positions and ordinals must both be 0..n-1, each once")
     return order.select("ordinal", "position")
 
 
@@ -125,15 +125,17 @@ def blob_match(items: DataFrame, blobs: DataFrame) -> DataFrame:
 
 
 def canvas_size(sizes: DataFrame, width: int, *, probes: int = 128) -> tuple[int, int]:
-    """Even canvas of (width, height) probes: the median aspect ratio, and the median width capped at `width`; at most `probes` evenly spaced items by ordinal are looked at."""
-    n = sizes.count()
-    if not n:
+    """Even canvas of (width, height) items: as wide as the median item, at most `width`, with the median ratio of width to height.
+
+    At most `probes` items are looked at, evenly spaced by ordinal from the first on; those without a size are skipped.
+    """
+    step = max(1, sizes.count() // probes)
+    picked = sizes.where((F.col("ordinal") % step == 0) & (F.col("ordinal") < step * probes) & (F.col("width") > 0) & (F.col("height") > 0))
+    w, ratio = picked.agg(F.percentile("width", 0.5), F.percentile(F.col("width") / F.col("height"), 0.5)).first()
+    if w is None:
         raise ValidationError("no sizes to choose a canvas from")
-    step = max(1, n // probes)
-    picked = sizes.where(F.col("ordinal") % step == 0)
-    w, aspect = picked.agg(F.percentile("width", 0.5), F.percentile(F.col("height") / F.col("width"), 0.5)).first()
-    w = int(min(w, width)) // 2 * 2
-    return max(w, 2), max(int(round(w * aspect)) // 2 * 2, 2)
+    w = min(int(w), width)
+    return max(w // 2 * 2, 2), max(round(w / ratio) // 2 * 2, 2)
 
 
 def changed_frames(frames: DataFrame, recorded: DataFrame) -> DataFrame:

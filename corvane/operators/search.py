@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions.vectors import all_finite, dot, l2_norm, l2_normalize, score_order
+from .cells import SCORE_ROOM, best_of, group_scores, matrix
 from .graph import bounded_bfs
 from .lexical import bm25_search
 
-#: Queries of one block: their vectors are held by every scoring task (4 bytes a number: 8 MB at 512 dimensions).
+#: Queries that are broadcast to every scoring task, at most (8 bytes a number: 16 MB at 512 dimensions).
 QUERY_BLOCK = 4096
-#: Scores that a task holds at once, about: 32 MB, and twice that for their order.
-SCORE_ROOM = 4_000_000
+#: Stored vectors of one group, about, where more queries ask than are broadcast.
+VECTOR_GROUP = 8192
 
 
 def check_query(vector: list[float], k: int, dim: int) -> list[float]:
@@ -64,34 +65,27 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int, *, normalized: bool = False) -> DataFrame:
     """Score every vector for every query and keep the best k per query.
 
-    Queries are taken in blocks of QUERY_BLOCK rows; each block is broadcast (its size is bounded) and multiplied with
-    the vectors batch by batch, and only the best k of a batch leave the task. `normalized` says that stored vectors
-    have length 1; otherwise their norms divide. A query with k or fewer vectors gets them all.
+    Up to QUERY_BLOCK queries are broadcast (their size is bounded) and multiplied with the vectors batch by batch, without a shuffle of vectors;
+    only the best k of a batch leave the task. More queries meet the vectors in groups of about VECTOR_GROUP: a vector is shuffled once, a
+    query once for each group. That is the whole product of both tables: where all rows ask all rows, ann_search() is meant.
+    `normalized` says that stored vectors have length 1; otherwise their norms divide. A query with k or fewer vectors gets them all.
+    Null vectors have no score. The number of queries is counted when it is called.
     """
     if k < 1:
         raise QueryError("k must be at least 1")
-    blocks = _query_blocks(queries)
-    sc = vectors.sparkSession.sparkContext
-    out = None
-    for qids, q in blocks:
-        part = vectors.select("ordinal", "embedding").mapInArrow(_matmul(sc.broadcast((qids, q)), k, normalized), "qid long, ordinal long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    q = queries.select(F.col("qid").cast("long").alias("id"), l2_normalize("query").cast("array<double>").alias("v")).where("v is not null")
+    head = q.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    if not head.num_rows:
         return vectors.sparkSession.createDataFrame([], "qid long, rank int, ordinal long, score double")
-    return top_k(out, k)
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of the query table, streamed to the driver; at most one is held."""
-    rows = queries.select(F.col("qid").cast("long"), l2_normalize("query").alias("q")).toLocalIterator()
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-            held = []
-    if held:
-        yield np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
+    if head.num_rows <= QUERY_BLOCK:
+        ids, x = head.column("id").to_numpy(), matrix(head.column("v").combine_chunks(), head.num_rows)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
+        return top_k(vectors.select("ordinal", "embedding").mapInArrow(_matmul(shared, k, normalized), "qid long, ordinal long, score double"), k)
+    stored = vectors.where("embedding is not null").select(F.col("ordinal").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    groups = max(1, -(-stored.count() // VECTOR_GROUP))
+    held = stored.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("cell"), F.lit(0).alias("block"), F.lit(0).alias("asks"), "id", "v")
+    ask = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("cell"), F.lit(0).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    return top_k(group_scores(held.unionByName(ask), k, normalized=normalized), k)
 
 
 def _matmul(shared, k: int, normalized: bool):
@@ -104,18 +98,10 @@ def _matmul(shared, k: int, normalized: bool):
                 b = b.filter(b.column("embedding").is_valid())
                 if not b.num_rows:
                     continue
-                x = b.column("embedding").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 ordinal = b.column("ordinal").cast(pa.int64()).to_numpy()
-                scores = x @ q.T  # vectors, queries
-                if not normalized:
-                    with np.errstate(all="ignore"):
-                        scores /= np.linalg.norm(x, axis=1)[:, None]
                 order = np.argsort(ordinal, kind="stable")
-                scores, ordinal = scores[order], ordinal[order]
-                key = np.where(np.isnan(scores), np.inf, -scores)
-                n = min(k, len(ordinal))
-                best = np.argsort(key, axis=0, kind="stable")[:n] if n < len(ordinal) else np.broadcast_to(np.arange(n)[:, None], (n, len(qids)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, n)), pa.array(ordinal[best].reshape(-1)), pa.array(np.take_along_axis(scores, best, 0).reshape(-1))], ["qid", "ordinal", "score"])
+                x = matrix(b.column("embedding"), b.num_rows)[order]
+                yield best_of(qids, q, ordinal[order], x, None if normalized else np.linalg.norm(x, axis=1), k)
 
     return run
 

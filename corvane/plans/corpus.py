@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 from ..errors import CitationError, ManifestError, NotIndexed, ValidationError
 from ..functions.identity import chunk_id, content_hash, table_digest
 from ..functions.vectors import all_finite, decode_float16, dequantize_int4, dequantize_int8, encode_float16, quantize_int4, quantize_int8, truncate_renormalize
-from ..operators.ann import FLOOR, ann_search, ivf_beam, ivf_build, ivf_candidates
+from ..operators.ann import Probes, ann_search, ivf_build, ivf_probes
 from ..operators.graph import build_graph, check_graph
 from ..operators.lexical import bm25_build, invalid_postings
 from ..operators.media import blob_bytes, blob_totals, broken_blobs, span_overlay
-from ..operators.search import check_query, exact_search, explain_search, graph_search, hybrid_search, neighbor_context
+from ..operators.search import check_query, exact_search, explain_search, graph_search, hybrid_search, neighbor_context, rerank
+from ..tables import materialize
 from .manifest import PLACEHOLDER, Capabilities, Manifest, check_model
 from .presets import PRESETS
 
 SCHEME = "corpus://"
-#: Numbers of hits for which a build measures the beam; for more, the queries of the call measure it.
-BEAM_KS = (10, 100)
+#: Numbers of hits for which a build measures how many cells a query asks; for more, the queries of the call measure it.
+PROBE_KS = (10, 100)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -67,6 +68,11 @@ def decoded(v: Column | str, dtype: str) -> Column:
     return {"float32": F.col, "float16": decode_float16, "int8": dequantize_int8, "int4": dequantize_int4}[dtype](v)
 
 
+def _index(spark: SparkSession, path: str, dtype: str) -> tuple[DataFrame, DataFrame]:
+    cells = spark.read.parquet(f"{path}/ann_cells")
+    return spark.read.parquet(f"{path}/ann_codebooks"), cells.select("cell", "ordinal", decoded("embedding", dtype).alias("embedding"))
+
+
 def build_corpus(
     rows: DataFrame, path: str, *, embedding_model: str, embedding_dim: int, model_hash: str, chunker_version: str, preset: str = "hybrid", dtype: str = "",
     mrl_dim: int = 0, keep_full_precision: bool = False, with_graph: bool = False, graph_top_m: int = 8, spaces: dict[str, DataFrame] | None = None, space_models: dict[str, str] | None = None,
@@ -112,23 +118,23 @@ def build_corpus(
         m = replace(m, index_type="hybrid" if p.bm25 else "hnsw", rerank_policy="exact")
     chunks = spark.read.parquet(f"{temporary}/chunks")
     vectors = spark.read.parquet(f"{temporary}/vectors").select("ordinal", decoded("embedding", dtype).alias("embedding"))
+    everyone = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query"))
+    index = None
     if p.ann:
-        centroids, cells = ivf_build(vectors)
-        put(centroids, "ann_centroids")
-        put(cells, "ann_cells")
-        centroids, cells = (spark.read.parquet(f"{temporary}/{t}") for t in ("ann_centroids", "ann_cells"))
-        everyone = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query"))
-        put(spark.createDataFrame([(k, ivf_beam(vectors, (centroids, cells), everyone, k, own=True)) for k in BEAM_KS], "k int, beam long"), "ann_beams")
+        codes, cells = ivf_build(vectors)
+        put(codes, "ann_codebooks")
+        put(cells.select("cell", "ordinal", encoded("embedding", dtype).alias("embedding")).repartitionByRange("cell").sortWithinPartitions("cell", "ordinal"), "ann_cells")
+        index = _index(spark, temporary, dtype)
+        measured = [(k, *vars(ivf_probes(vectors, index, everyone, k, own=True)).values()) for k in PROBE_KS]
+        put(spark.createDataFrame(measured, "k int, cells int, width int"), "ann_probes")
     if p.bm25:
         for name, t in bm25_build(chunks).items():
             put(t, f"bm25_{name}")
     if with_graph:
-        everyone, neighbors = vectors.select(F.col("ordinal").alias("qid"), F.col("embedding").alias("query")), None
-        if graph_top_m and p.ann:  # all rows ask, so cells keep the work in proportion to the rows
-            beam = ivf_beam(vectors, (centroids, cells), everyone, graph_top_m, own=True)
-            neighbors = ann_search(vectors, (centroids, cells), everyone, graph_top_m + 1, beam=beam)
-        elif graph_top_m:
-            neighbors = exact_search(vectors, everyone, graph_top_m + 1)
+        neighbors = None
+        if graph_top_m:  # all rows ask, so cells keep the work in proportion to the rows; presets without an index use one for this only
+            index = index or tuple(materialize(t, "graph-cells") for t in ivf_build(vectors))
+            neighbors = ann_search(vectors, index, everyone, graph_top_m + 1, probes=ivf_probes(vectors, index, everyone, graph_top_m, own=True))
         put(build_graph(chunks.select("ordinal"), neighbors, top_m=graph_top_m), "edges")
     for name, df in (spaces or {}).items():
         put(df.select("ordinal", F.col("embedding").cast("array<float>").alias("embedding")), f"space_vectors/space={name}")
@@ -136,7 +142,7 @@ def build_corpus(
         put(blobs, "blobs")
         if blob_spans is not None:
             put(blob_spans, "blob_spans")
-    names = ["chunks", "vectors"] + ["ann_centroids", "ann_cells", "ann_beams"] * p.ann + [f"bm25_{t}" for t in ("postings", "terms", "doc_stats", "corpus")] * p.bm25 + ["edges"] * with_graph
+    names = ["chunks", "vectors"] + ["ann_codebooks", "ann_cells", "ann_probes"] * p.ann + [f"bm25_{t}" for t in ("postings", "terms", "doc_stats", "corpus")] * p.bm25 + ["edges"] * with_graph
     tables = {t: table_digest(spark.read.parquet(f"{temporary}/{t}")) for t in ("chunks", "vectors")}
     exact = spark.read.parquet(f"{temporary}/vectors")
     content = exact.select("ordinal", F.col("embedding_fp").alias("embedding")) if full else vectors
@@ -216,18 +222,18 @@ class Corpus:
     def bm25(self) -> dict[str, DataFrame] | None:
         return {t: self._table(f"bm25_{t}") for t in ("postings", "terms", "doc_stats", "corpus")} if self.manifest.capabilities.bm25 else None
 
-    @property
+    @cached_property
     def ann(self) -> tuple[DataFrame, DataFrame] | None:
-        return (self._table("ann_centroids"), self._table("ann_cells")) if self.manifest.capabilities.ann else None
+        return _index(self.spark, self.path, self.manifest.dtype) if self.manifest.capabilities.ann else None
 
     @cached_property
-    def _beams(self) -> dict[int, int]:
-        return {r.k: r.beam for r in self._table("ann_beams").collect()} if self._has("ann_beams") else {}
+    def _measured(self) -> dict[int, Probes]:
+        return {r.k: Probes(r.cells, r.width) for r in self._table("ann_probes").collect()}
 
-    def _beam(self, queries: DataFrame, k: int) -> int:
-        """The beam measured by the build for at least k hits, else by these queries."""
-        measured = [k_ for k_ in sorted(self._beams) if k_ >= k]
-        return self._beams[measured[0]] if measured else ivf_beam(self.vectors, self.ann, queries, k)
+    def _probes(self, queries: DataFrame, k: int) -> Probes:
+        """What the build measured for at least k hits, else what these queries need."""
+        enough = [k_ for k_ in sorted(self._measured) if k_ >= k]
+        return self._measured[enough[0]] if enough else ivf_probes(self.vectors, self.ann, queries, k)
 
     @property
     def space_names(self) -> list[str]:
@@ -248,7 +254,13 @@ class Corpus:
         return exact_search(self.vectors, queries, k)
 
     def search_ann(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
-        return ann_search(self.vectors, self.ann, queries, k, ef=ef, beam=self._beam(queries, k)) if self.ann else self.search(queries, k)
+        """Hits of the asked cells, scored again on the vectors that `vectors` gives where the index holds rounded ones."""
+        if not self.ann:
+            return self.search(queries, k)
+        if not self.manifest.full_precision:
+            return ann_search(self.vectors, self.ann, queries, k, ef=ef, probes=self._probes(queries, k))
+        found = ann_search(self.vectors, self.ann, queries, max(k, ef), ef=ef, probes=self._probes(queries, max(k, ef)))
+        return rerank(self.vectors, queries, found, k)
 
     def search_graph(self, queries: DataFrame, k: int, *, hops: int = 1, ef: int = 100) -> DataFrame:
         if not self.manifest.capabilities.graph:
@@ -256,7 +268,7 @@ class Corpus:
         return graph_search(self.vectors, self.edges, queries, k, hops=hops, ef=ef)
 
     def search_hybrid(self, queries: DataFrame, k: int, candidates: int = 64) -> DataFrame:
-        ann = (lambda q, width: ivf_candidates(self.ann, q, max(width, FLOOR, self._beam(q, k)))) if self.ann else None
+        ann = (lambda q, width: ann_search(self.vectors, self.ann, q, width, ef=width, probes=self._probes(q, width))) if self.ann else None
         return hybrid_search(self.vectors, queries, queries.select("qid", "text"), self.bm25, k, candidates=candidates, ann=ann)
 
     def search_space(self, name: str, queries: DataFrame, k: int, *, model_hash: str | None = None) -> DataFrame:
@@ -294,15 +306,17 @@ class Corpus:
         return self.hits(verbs[mode](queries, k, **settings), route, text=True)
 
     def _run(self, route: str, queries: DataFrame, k: int, candidates: int) -> DataFrame:
-        return self.search_hybrid(queries, k, candidates) if route == "hybrid" else self.search_ann(queries, k, candidates) if route == "hnsw" else self.search(queries, k)
+        found = self.search_hybrid(queries, k, candidates) if route == "hybrid" else self.search_ann(queries, k, candidates) if route == "hnsw" else self.search(queries, k)
+        return found.withColumn("route", F.lit(route))
 
     def hits(self, found: DataFrame, route: str, *, text: bool = False) -> DataFrame:
-        """Citable rows of (qid, rank, ordinal, score)."""
+        """Citable rows of (qid, rank, ordinal, score). A column `route` of found says how each query went; else all went by `route`."""
         m = self.manifest
         cite = F.concat(F.lit(f"{SCHEME}{m.content_hash}/"), F.col("chunk_id"))
         c = self.chunks.select("ordinal", "chunk_id", "source_uri", F.col("byte_start").alias("offset_start"), F.col("byte_end").alias("offset_end"), *["canonical_text"] * text)
-        j = found.join(c, "ordinal").select("qid", "rank", "ordinal", "chunk_id", F.col("score").cast("float").alias("score"), F.lit("cosine").alias("score_type"), "source_uri", "offset_start", "offset_end", *([F.col("canonical_text").alias("text")] if text else []))
-        return j.withColumns({"embedding_model": F.lit(m.embedding_model), "index_type": F.lit(route), "reranked": F.lit(route not in ("exact", "space")), "file_hash": F.lit(m.file_hash), "content_hash": F.lit(m.content_hash), "citation_id": cite, "rerank_source": F.lit(self.rerank_source)})
+        by = F.col("route") if "route" in found.columns else F.lit(route)
+        j = found.withColumn("index_type", by).join(c, "ordinal").select("index_type", "qid", "rank", "ordinal", "chunk_id", F.col("score").cast("float").alias("score"), F.lit("cosine").alias("score_type"), "source_uri", "offset_start", "offset_end", *([F.col("canonical_text").alias("text")] if text else []))
+        return j.withColumns({"embedding_model": F.lit(m.embedding_model), "index_type": F.col("index_type"), "reranked": ~F.col("index_type").isin("exact", "space"), "file_hash": F.lit(m.file_hash), "content_hash": F.lit(m.content_hash), "citation_id": cite, "rerank_source": F.lit(self.rerank_source)})
 
     def retrieve(self, queries: DataFrame, k: int, *, candidates: int | None = None, ef: int = 100, expected_model_hash: str | None = None) -> DataFrame:
         """Routed search with the texts: at least max(ef, candidates or max(4k, 64)) candidates."""

@@ -51,19 +51,23 @@ def emit(chunks: DataFrame, path: str, embedder, *, chunker_version: str, cache:
     known = read_cache(spark, cache)
     every, fresh = embed_missing(keyed, known, embedder)
     if cache:
-        fresh.write.mode("append").parquet(cache)
+        fresh.write.mode("append").parquet(f"{cache.rstrip('/')}/batch=-1")
         every = read_cache(spark, cache).where(F.col("model_hash") == model_hash(embedder)).dropDuplicates(["chunk_id"])
     rows = keyed.join(every.select("chunk_id", "embedding"), "chunk_id").drop("chunk_id")
     return build_corpus(rows, path, embedding_model=embedder.model, embedding_dim=embedder.dim, model_hash=model_hash(embedder), chunker_version=chunker_version, **settings)
 
 
-def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
+def read_cache(spark: SparkSession, path: str | None, *, but: int | None = None) -> DataFrame:
+    """Cached embeddings below a folder: those of batch jobs, in `batch=-1` or beside it, and of the batches of streams, one folder each; `but` leaves out one batch."""
     schema = "chunk_id string, model_hash string, embedding array<float>"
     if path:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return spark.read.schema(schema).parquet(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            parts = [x.getPath().toString() for x in fs.listStatus(p) if x.isDirectory() and x.getPath().getName().startswith("batch=")]
+            parts = [x for x in parts if but is None or not x.endswith(f"/batch={but}")]
+            return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
     return spark.createDataFrame([], schema)
 
 

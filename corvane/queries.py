@@ -222,12 +222,12 @@ select doc_id, i::int chunk_no, substr(text, i * {step} + 1, {size}) canonical_t
 
 @query(_windows_sql(512, 0))
 def chunk_windows_plain(spark, d):
-    return chunk_windows(_t(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
+    return chunk_windows(_t(spark, d, "documents").select("doc_id", "text"), "text")
 
 
 @query(_windows_sql(300, 60))
 def chunk_windows_overlap(spark, d):
-    return chunk_windows(_t(spark, d, "documents").select("doc_id", "text"), "text", max_chars=300, overlap=60).drop("text")
+    return chunk_windows(_t(spark, d, "documents").select("doc_id", "text"), "text", max_chars=300, overlap=60)
 
 
 @query()
@@ -556,7 +556,12 @@ _sql_query("q_union_all", "select c_nationkey k from customer union all select s
 _sql_query("q_intersect", "select c_nationkey k from customer where c_acctbal > 9000 intersect select s_nationkey from supplier where s_acctbal > 5000")
 _sql_query("q_except", "select n_nationkey k from nation except select s_nationkey from supplier where s_acctbal > 9000")
 _sql_query("q_full_outer", "select coalesce(a.k, b.k) k, a.n an, b.n bn from (select c_nationkey k, count(*) n from customer where c_acctbal > 9500 group by 1) a full outer join (select s_nationkey k, count(*) n from supplier where s_acctbal > 5000 group by 1) b on a.k = b.k")
-_sql_query("q_asof_like", "select o.o_orderkey, min(e.ts) next_event from orders o join events e on e.user_id = o.o_custkey and e.ts >= o.o_orderdate group by o.o_orderkey")
+_sql_query(
+    "q_asof_like",
+    """select o_orderkey, next_event from (select o_orderkey, min(ts) over (partition by k order by t desc range between unbounded preceding and current row) next_event
+from (select o_orderkey, o_custkey k, o_orderdate t, cast(null as timestamp_ntz) ts from orders union all select null, user_id, ts, ts from events)) x where o_orderkey is not null and next_event is not null""",
+    "select o.o_orderkey, min(e.ts) next_event from orders o join events e on e.user_id = o.o_custkey and e.ts >= o.o_orderdate group by o.o_orderkey",
+)
 _sql_query("q_json_props", "select event_id, get_json_object(props, '$.k') k from events where props is not null", "select event_id, json_extract_string(props, '$.k') k from events where props is not null")
 _sql_query("q_tumbling_window", "select window(ts, '1 hour').start w, event_type, count(*) n from events group by window(ts, '1 hour'), event_type", "select time_bucket(interval '1 hour', ts) w, event_type, count(*) n from events group by 1, 2")
 _sql_query("q_session_window", "select user_id, session_window(ts, '30 minutes').start s, count(*) n from events where ts is not null group by user_id, session_window(ts, '30 minutes')", "with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end f from events where ts is not null), y as (select user_id, ts, sum(f) over (partition by user_id order by ts rows unbounded preceding) g from x) select user_id, min(ts) s, count(*) n from y group by user_id, g")

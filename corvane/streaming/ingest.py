@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.embed import embed_missing
+from ..functions.embed import embed_column, model_hash
 from ..functions.identity import chunk_id
 from ..functions.text import chunk_windows
 from ..plans.pipeline import read_cache
@@ -14,7 +14,7 @@ from ..plans.pipeline import read_cache
 
 def stream_chunks(texts: DataFrame, *, text_col: str = "text", uri_col: str = "source_uri", max_chars: int = 512, overlap: int = 0, chunker_version: str = "1") -> DataFrame:
     """Chunks of a stream of texts: stateless, so the same rows as a batch gives."""
-    windows = chunk_windows(texts.select(F.col(text_col).alias("_whole"), F.col(uri_col).alias("source_uri")), "_whole", max_chars=max_chars, overlap=overlap).drop("_whole")
+    windows = chunk_windows(texts.select(F.col(text_col).alias("_whole"), F.col(uri_col).alias("source_uri")), "_whole", max_chars=max_chars, overlap=overlap)
     return windows.withColumn("chunk_id", chunk_id("canonical_text", "source_uri", "byte_start", "byte_end", chunker_version))
 
 
@@ -29,11 +29,20 @@ def stream_distinct(chunks: DataFrame, *, time_col: str, delay: str) -> DataFram
 
 
 def embed_stream(chunks: DataFrame, cache: str, embedder, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Append embeddings of new chunks to the cache folder. Each batch embeds only what the cache lacks, so a repeated batch adds nothing."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        _, fresh = embed_missing(df, read_cache(df.sparkSession, cache), embedder)
-        fresh.write.mode("append").parquet(cache)
+    """Write embeddings of new chunks to the cache folder, each batch into a part of its own that a repeated batch overwrites.
+
+    A batch embeds only what earlier batches lack. Of the cache it reads the ids of this model, as many as the batch's chunks can meet:
+    the batch's ids are joined to them, not the vectors.
+    """
+    key = model_hash(embedder)
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        mine = f"{cache.rstrip('/')}/batch={number}"
+        known = read_cache(spark, cache, but=number).where(F.col("model_hash") == key).select("chunk_id")
+        fresh = df.select("chunk_id", "canonical_text").dropDuplicates(["chunk_id"]).join(known, "chunk_id", "left_anti")
+        rows = fresh.select("chunk_id", F.lit(key).alias("model_hash"), embed_column("canonical_text", embedder).alias("embedding"))
+        rows.write.mode("overwrite").parquet(mine)
 
     w = chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -7,10 +7,13 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, list[str]] = {}
+_local: dict[str, str] = {}  # temporary folders of local sessions, by application
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -21,10 +24,11 @@ def work_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-    path = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    atexit.register(shutil.rmtree, path[7:], ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        atexit.register(shutil.rmtree, _local[app][7:], ignore_errors=True)
+    return _local[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -59,6 +63,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside the block are deleted at its end: for sessions that ask many queries. What the block makes must have been read or written by then."""
+    app = spark.sparkContext.applicationId
+    before = set(_written.get(app, []))
+    try:
+        yield
+    finally:
+        for path in [p for p in _written.get(app, []) if p not in before]:
+            _written[app].remove(path)
+            _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that materialize() wrote for this application."""
     try:

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from corvane.errors import QueryError
-from corvane.operators.ann import ann_search, ivf_build, ivf_candidates
+from corvane.operators import ann
+from corvane.operators import search as searching
+from corvane.operators.ann import Probes, ann_search, codebooks, ivf_build, ivf_probes
 from corvane.operators.graph import bounded_bfs, build_graph, check_graph, next_chunk_edges
 from corvane.operators.lexical import bm25_build, bm25_search, invalid_postings, rrf_union
 from corvane.operators.search import check_query, exact_search, graph_search, hybrid_search, neighbor_context, rerank, split_queries, top_k
@@ -56,7 +58,7 @@ def test_every_verb_returns_exact_scores(spark, clustered):
     all_scores = clustered[[3, 50]].astype(float) @ clustered.T.astype(float)
     edges = build_graph(v.select("ordinal"), None)
     found = {
-        "ann": ann_search(v, ivf_build(v, cells=8), q, 5, floor=10),
+        "ann": ann_search(v, ivf_build(v, cells=8), q, 5),
         "graph": graph_search(v, edges, q, 5, ef=8),
         "hybrid": hybrid_search(v, q, texts, bm25_build(chunks), 5, candidates=12),
         "no index": hybrid_search(v, q, texts, None, 5, candidates=3),
@@ -69,17 +71,48 @@ def test_every_verb_returns_exact_scores(spark, clustered):
         assert got[0][2] == 3, name
 
 
-def test_cells_reach_the_beam(spark, clustered):
-    v, q = vectors_of(spark, clustered), queries_of(spark, clustered[:20])
+def share_found(found, truth):
+    return found.join(truth, ["qid", "ordinal"]).count() / truth.count()
+
+
+def test_many_queries_meet_the_vectors_in_groups(spark, clustered, monkeypatch):
+    v, q = vectors_of(spark, clustered), queries_of(spark, clustered[:30] + 0.01)
+    few = rows(exact_search(v, q, 6))
+    monkeypatch.setattr(searching, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(searching, "VECTOR_GROUP", 40)
+    many = rows(exact_search(v, q, 6))
+    assert [r[:3] for r in many] == [r[:3] for r in few] and [r[3] for r in many] == pytest.approx([r[3] for r in few])
+
+
+@pytest.mark.parametrize("routes,block", [(1024, 8192), (4, 8192), (1024, 7)])
+def test_cells_reach_the_recall(spark, clustered, monkeypatch, routes, block):
+    """One codebook, two of them, and cells that are cut into blocks."""
+    monkeypatch.setattr(ann, "ROUTES", routes)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    v, q = vectors_of(spark, clustered).persist(), queries_of(spark, clustered[:20])
     index = ivf_build(v, cells=12)
-    counts = {r[0]: r[1] for r in ivf_candidates(index, q, 40).groupBy("qid").count().collect()}
-    assert len(counts) == 20 and min(counts.values()) >= 40
-    found, truth = ann_search(v, index, q, 10, ef=40, floor=40), exact_search(v, q, 10)
-    assert found.join(truth, ["qid", "ordinal"]).count() / truth.count() >= 0.95
+    books = codebooks(index[0])
+    assert len(books.books) == (1 if routes > 4 else 2) and books.cells >= 12
+    assert index[1].count() == len(clustered) and index[1].select("ordinal").distinct().count() == len(clustered)
+    p = ivf_probes(v, index, q, 10)
+    assert p.cells < books.cells
+    assert share_found(ann_search(v, index, q, 10, probes=p), exact_search(v, q, 10)) >= 0.9
+    every = ann_search(v, index, q, 10, probes=Probes(books.cells, books.cells))
+    assert rows(every) == rows(exact_search(v, q, 10))
+
+
+def test_index_of_dirty_vectors(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [0.0, 2.0])], "ordinal long, embedding array<float>")
+    index = ivf_build(v)
+    assert {r.ordinal for r in index[1].collect()} == {0, 4}
+    got = rows(ann_search(v, index, queries_of(spark, [[0.0, 1.0]]), 5))
+    assert [r[2] for r in got] == [4, 0]
+    none = ivf_build(v.limit(0))
+    assert ann_search(v.limit(0), none, queries_of(spark, [[0.0, 1.0]]), 5).count() == 0
 
 
 def test_beam_follows_the_measured_recall(spark):
-    """Vectors without clusters, on the driver's table at sf0.1: 400 candidates hold two thirds of the neighbours."""
+    """Vectors without clusters, on the driver's table at sf0.1."""
     path = "/root/testdata/sf0.1/embeddings.parquet"
     if not os.path.exists(path):
         pytest.skip("the test tables are not here")
