@@ -159,32 +159,34 @@ def ivf_probes(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries:
         width *= 4
 
 
-def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 0, probes: Probes | None = None) -> DataFrame:
-    """(qid, rank, ordinal, score): the best k among the vectors of the asked cells, by exact cosines. Without `probes` they are measured on these queries.
-
-    At least as many cells are asked as hold max(ef, k) vectors on average. Only cells that some query asks are shuffled; a
-    query goes to its cells, not to their members.
-    """
-    p = probes or ivf_probes(vectors, index, queries, k)
-    sc = vectors.sparkSession.sparkContext
+def asked_cells(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int, probes: Probes) -> DataFrame:
+    """(cell, id, v): the cells that each query asks, with the query scaled to length 1. At least as many as hold max(ef, k) vectors on average."""
     books = codebooks(index[0])
-    if not books.books:
-        return vectors.sparkSession.createDataFrame([], "qid long, rank int, ordinal long, score double")
-    n = min(max(p.cells, -(-max(ef, k) // CELL) + 1), books.cells)
-    shared = sc.broadcast(books)
+    n = min(max(probes.cells, -(-max(ef, k) // CELL) + 1), books.cells)
+    shared = queries.sparkSession.sparkContext.broadcast(books)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 part = whole.slice(at, 64)
-                cells = b.nearest(matrix(part.column("v"), part.num_rows), n, max(p.width, n))[0]
+                cells = b.nearest(matrix(part.column("v"), part.num_rows), n, max(probes.width, n))[0]
                 row, col = (x.reshape(-1) for x in np.indices(cells.shape))
                 few = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[row, col]), part.column("id").take(few), part.column("v").take(few)], ["cell", "id", "v"])
 
     unit = queries.select(F.col("qid").cast("long").alias("id"), l2_normalize("query").cast("array<double>").alias("v")).where(f"size(v) = {books.books[0].shape[1]}")
-    asked = materialize(unit.mapInArrow(route, "cell long, id long, v array<double>"), "asked-cells")
+    return materialize(unit.mapInArrow(route, "cell long, id long, v array<double>"), "asked-cells")
+
+
+def ann_search(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, *, ef: int = 0, probes: Probes | None = None) -> DataFrame:
+    """(qid, rank, ordinal, score): the best k among the vectors of the asked cells, by exact cosines. Without `probes` they are measured on these queries.
+
+    Only cells that some query asks are shuffled; a query goes to its cells, not to their members. Jobs run when it is called.
+    """
+    if not codebooks(index[0]).books:
+        return vectors.sparkSession.createDataFrame([], "qid long, rank int, ordinal long, score double")
+    asked = asked_cells(index, queries, k, ef=ef, probes=probes or ivf_probes(vectors, index, queries, k))
     wanted = materialize(asked.select("cell").distinct(), "wanted-cells")
     small = wanted.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     stored = index[1].join(F.broadcast(wanted) if small else wanted, "cell", "left_semi")

@@ -55,17 +55,26 @@ def rrf_union(*lists: DataFrame, constant: int = 60) -> DataFrame:
     return fused.select("qid", F.row_number().over(w).alias("rank"), "ordinal", "score")
 
 
-def invalid_postings(index: dict[str, DataFrame]) -> DataFrame:
+def invalid_postings(index: dict[str, DataFrame], *, k1: float = K1, b: float = B) -> DataFrame:
     """(problem, n): what breaks the index's own rules; empty if it is sound."""
-    p, t, d = index["postings"], index["terms"], index["doc_stats"]
+    p, t, d, c = index["postings"], index["terms"], index["doc_stats"], index["corpus"]
+    lengths = p.groupBy("ordinal").agg(F.sum("tf").alias("n"))
+    real = d.agg(F.count("*").alias("_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("_avg"))
     found = [
         (p.where("tf < 1 or tf is null"), "tf below 1"),
+        (p.groupBy("term", "ordinal").count().where("count > 1"), "repeated posting"),
         (p.join(d, "ordinal", "left_anti"), "posting of an unknown document"),
         (t.join(p.groupBy("term").agg(F.count("*").alias("n")), "term", "full").where("not (df <=> n)"), "df differs from the postings"),
         (d.where("dl < 0 or dl is null"), "negative length"),
+        (d.join(lengths, "ordinal", "left").where("not (dl <=> coalesce(n, 0))"), "length differs from the postings"),
+        (d.groupBy("ordinal").count().where("count > 1"), "repeated document"),
+        (c.crossJoin(real).where("n_docs != _docs or n_docs is null"), "number of documents"),  # one row each
+        (c.crossJoin(real).where("avgdl is null or isnan(avgdl) or abs(avgdl - _avg) > 1e-9 * greatest(1, _avg)"), "average length"),
     ]
-    out = None
-    for rows, problem in found:
-        n = rows.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(problem).alias("problem"), "n")
-        out = n if out is None else out.unionByName(n)
+    rows = [r.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(problem).alias("problem"), "n") for r, problem in found]
+    if not (0 <= k1 < float("inf") and 0 <= b <= 1):
+        rows.append(p.sparkSession.createDataFrame([("k1 or b out of range", 1)], "problem string, n long"))
+    out = rows[0]
+    for n in rows[1:]:
+        out = out.unionByName(n)
     return out

@@ -182,8 +182,13 @@ def utility_threshold(floor: float, source_hit: float, tolerance: float) -> floa
     return max(floor, source_hit - tolerance)
 
 
-#: Media backends by name: callables (frames, settings) -> table of encoded files.
-BACKENDS: dict[str, Callable] = {}
+def store_files(frames: DataFrame, **_) -> DataFrame:
+    """The backend `files`: images stay the files that they are, one blob a frame."""
+    return frames
+
+
+#: Media backends by name: callables (frames(position, frame, uri, data), settings) -> the same columns with encoded data.
+BACKENDS: dict[str, Callable] = {"files": store_files}
 
 
 def register_backend(name: str, run: Callable) -> None:

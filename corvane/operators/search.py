@@ -145,15 +145,3 @@ def neighbor_context(chunks: DataFrame, radius: int = 1, joiner: str = " ") -> D
     gathered = chunks.select("ordinal").join(shifted, F.col("ordinal") == F.col("_at"))
     ordered = F.array_sort(F.collect_list(F.struct("_from", "_text")))
     return gathered.groupBy("ordinal").agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), joiner).alias("context"))
-
-
-def explain_search(route: str, candidates: dict[str, int], *, precision: str = "stored_precision") -> dict:
-    """What a search did. Recall is 1 on the exact route and NaN elsewhere: it is never claimed without being known."""
-    known = {"exact", "space"}
-    return {
-        "route": "exact" if route in known else route,
-        "exact_candidates": candidates.get("exact", 0), "ann_candidates": candidates.get("ann", 0),
-        "bm25_candidates": candidates.get("bm25", 0), "graph_candidates": candidates.get("graph", 0),
-        "fusion_mode": "rrf" if route == "hybrid" else "none", "rerank_source": precision,
-        "recall_estimate": 1.0 if route in known else float("nan"), "reranked": route not in known,
-    }

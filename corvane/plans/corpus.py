@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from dataclasses import replace
 from functools import cached_property
@@ -12,22 +13,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CitationError, ManifestError, NotIndexed, ValidationError
-from ..functions.identity import chunk_id, content_hash, table_digest
+from ..functions.identity import canonical_json, chunk_id, content_hash, table_digest
 from ..functions.vectors import all_finite, decode_float16, dequantize_int4, dequantize_int8, encode_float16, quantize_int4, quantize_int8, truncate_renormalize
-from ..operators.ann import Probes, ann_search, ivf_build, ivf_probes
-from ..operators.graph import build_graph, check_graph
-from ..operators.lexical import bm25_build, invalid_postings
+from ..operators.ann import Probes, ann_search, asked_cells, ivf_build, ivf_probes
+from ..operators.graph import bounded_bfs, build_graph, check_graph
+from ..operators.lexical import bm25_build, bm25_search, invalid_postings
 from ..operators.media import blob_bytes, blob_totals, broken_blobs, span_overlay
-from ..operators.search import check_query, exact_search, explain_search, graph_search, hybrid_search, neighbor_context, rerank
+from ..operators.search import check_query, exact_search, graph_search, hybrid_search, neighbor_context, rerank
 from ..tables import materialize
 from .manifest import PLACEHOLDER, Capabilities, Manifest, check_model
 from .presets import PRESETS
 
 SCHEME = "corpus://"
+#: Named spaces of one corpus, at most.
+MAX_SPACES = 15
 #: Numbers of hits for which a build measures how many cells a query asks; for more, the queries of the call measure it.
 PROBE_KS = (10, 100)
 
 
+#: Columns of the chunk table, and how vectors of each type are stored.
+CHUNK_COLUMNS = {"ordinal": "bigint", "chunk_id": "string", "canonical_text": "string", "source_uri": "string", "byte_start": "bigint", "byte_end": "bigint"}
+SLAB_TYPES = {"float32": "array<float>", "float16": "binary", "int8": "struct<scale:float,codes:array<tinyint>>", "int4": "struct<scales:array<float>,codes:binary>"}
+
+
+def bad_slab(vectors: DataFrame, dtype: str, dim: int) -> DataFrame:
+    """Stored vectors, as they are stored, that are null, of another length, or have a number or a scale that is not finite; with `problem`."""
+    v = F.col("embedding")
+    if dtype in ("float32", "float16"):
+        size, finite = (F.size(v), all_finite("embedding")) if dtype == "float32" else (F.length(v) / 2, all_finite(decode_float16("embedding")))
+    elif dtype == "int8":
+        scale = v["scale"]
+        size, finite = F.size(v["codes"]), scale.isNotNull() & ~F.isnan(scale) & (F.abs(scale) != float("inf")) & ~F.exists(v["codes"], lambda c: c.isNull())
+    else:
+        size, finite = F.when(F.size(v["scales"]) * 64 == dim, F.length(v["codes"]) * 2), all_finite(v["scales"])
+    problem = F.when(v.isNull(), "null").when(~(size.eqNullSafe(F.lit(dim))), "dimension").when(~F.coalesce(finite, F.lit(False)), "not finite")
+    return vectors.withColumn("problem", problem).where("problem is not null")
+
+
+def check_spaces(spaces: dict[str, dict], default_hash: str) -> None:
+    """The table of named spaces: indexes 1..15 and names, each once; known types; model hashes."""
+    indexes = [about.get("index") for about in spaces.values()]
+    rules = [
+        (all(isinstance(i, int) and 1 <= i <= MAX_SPACES for i in indexes), f"an index is outside 1..{MAX_SPACES}"),
+        (len(set(indexes)) == len(indexes), "two spaces have the same index"),
+        (all(re.fullmatch(r"[\w.@-]+", name) for name in spaces), "a name is empty or has other characters than letters, digits, dots, dashes, underscores and @"),
+        (all(about.get("dtype") in SLAB_TYPES for about in spaces.values()), "an unknown type"),
+        (all(re.fullmatch(r"sha256:[0-9a-f]{64}", about.get("model_hash", "")) for about in spaces.values()), "a model hash is not sha256: and 64 hex digits"),
+        (all(isinstance(about.get("dim"), int) and about["dim"] > 0 for about in spaces.values()), "a dimension is not positive"),
+    ]
+    for ok, message in rules:
+        if not ok:
+            raise ValidationError(f"spaces: {message}")
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -148,8 +186,9 @@ def build_corpus(
     content = exact.select("ordinal", F.col("embedding_fp").alias("embedding")) if full else vectors
     m = replace(m, tables=tables | {t: "" for t in names if t not in tables}, content_hash=content_hash(chunks, content, m.contract(), m.provenance))
     m = replace(m, file_hash="sha256:" + hashlib.sha256(json.dumps(sorted(m.tables.items())).encode()).hexdigest())
-    m.extra["spaces"] = {s: {"dim": d.select(F.size("embedding")).first()[0], "model_hash": (space_models or {}).get(s, model_hash)} for s, d in (spaces or {}).items()}
+    m.extra["spaces"] = {s: {"index": i, "dim": d.select(F.size("embedding")).first()[0], "dtype": "float32", "n_vectors": n, "model_hash": (space_models or {}).get(s, model_hash)} for i, (s, d) in enumerate((spaces or {}).items(), 1)}
     m.validate()
+    write_text(spark, f"{temporary}/_contract.json", canonical_json(m.search_contract()))
     write_text(spark, f"{temporary}/_manifest.json", m.to_json())
     Corpus.open(spark, temporary).validate()
     fs, old = _fs(spark, temporary)
@@ -172,7 +211,21 @@ class Corpus:
     def open(cls, spark: SparkSession, path: str) -> "Corpus":
         m = Manifest.from_json(read_text(spark, f"{path.rstrip('/')}/_manifest.json"))
         m.validate()
-        return cls(spark, path, m)
+        out = cls(spark, path, m)
+        out.check_contract()
+        return out
+
+    def check_contract(self) -> None:
+        """The contract beside the manifest, as it was written, must say what the manifest says; and the tables must have their columns."""
+        written, now = json.loads(read_text(self.spark, f"{self.path}/_contract.json")), self.manifest.search_contract()
+        for key in sorted(set(written) | set(now)):
+            if written.get(key) != now.get(key):
+                raise ManifestError(f"contract: {key} is {written.get(key)!r}, the manifest says {now.get(key)!r}")
+        for table, want in (("chunks", CHUNK_COLUMNS), ("vectors", {"ordinal": "bigint", "embedding": SLAB_TYPES[self.manifest.dtype]})):
+            have = dict(self._table(table).dtypes)
+            wrong = [c for c, kind in want.items() if have.get(c) != kind]
+            if wrong:
+                raise ValidationError(f"table {table}: {wrong[0]} must be {want[wrong[0]]}, not {have.get(wrong[0])}")
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
@@ -338,8 +391,47 @@ class Corpus:
         v = [float(x) for x in embedder.embed([text])[0]][: self.manifest.embedding_dim]
         return self.retrieve(self.spark.createDataFrame([(0, v, text)], "qid long, query array<double>, text string"), k)
 
-    def explain(self, route: str, **candidates: int) -> dict:
-        return explain_search(route, candidates, precision=self.rerank_source)
+    def explain(self, queries: DataFrame, k: int, route: str = "routed", *, candidates: int = 64, hops: int = 1, ef: int = 100) -> DataFrame:
+        """(qid, route, exact_candidates, ann_candidates, bm25_candidates, graph_candidates, fusion_mode, rerank_source, recall_estimate), a row a query.
+
+        Counts are those of the candidates that this query has: all vectors on the exact route, vectors of the asked cells, lexical
+        hits, or nodes of the walk. Recall is 1 where all are scored, and NaN elsewhere: it is never claimed without being known.
+        """
+        n = self.manifest.n_chunks
+        if route == "routed":
+            with_text = F.coalesce(F.trim(F.regexp_replace("text", r"\s", " ")) != "", F.lit(False)) if "text" in queries.columns else F.lit(False)
+            parts = [self.explain(queries.where(x), k, self.route(has), candidates=candidates, hops=hops, ef=ef) for x, has in ((with_text, True), (~with_text, False))]
+            return parts[0].unionByName(parts[1])
+        q, none = queries.select("qid"), F.lit(0).cast("long")
+        counts = {"exact": none, "ann": none, "bm25": none, "graph": none}
+        if route in ("exact", "space") or route == "hybrid" and not self.ann:
+            counts["exact"] = F.lit(n).cast("long")
+        if route == "graph":
+            seeds = exact_search(self.vectors, queries, max(ef, k))
+            walk = bounded_bfs(self.edges, seeds.select("qid", F.col("ordinal").alias("node"), F.col("rank").alias("arrival")), hops=hops, max_frontier=8 * max(ef, k))
+            q = q.join(walk.groupBy("qid").agg(F.count("*").alias("_g")), "qid", "left")
+            counts |= {"exact": F.lit(min(max(ef, k), n)).cast("long"), "graph": F.coalesce("_g", none)}
+        if route == "hnsw" or route == "hybrid" and self.ann:
+            width = max(candidates, k)
+            asked = asked_cells(self.ann, queries, k if route == "hnsw" else width, ef=ef if route == "hnsw" else width, probes=self._probes(queries, k if route == "hnsw" else width))
+            sizes = self.ann[1].groupBy("cell").agg(F.count("*").alias("_m"))
+            q = q.join(asked.join(sizes, "cell").groupBy(F.col("id").alias("qid")).agg(F.sum("_m").alias("_a")), "qid", "left")
+            counts["ann"] = F.least(F.coalesce("_a", none), F.lit(width).cast("long")) if route == "hybrid" else F.coalesce("_a", none)
+        if route == "hybrid" and self.bm25:
+            found = bm25_search(self.bm25, queries.select("qid", "text"), candidates).groupBy("qid").agg(F.count("*").alias("_b"))
+            q = q.join(found, "qid", "left")
+            counts["bm25"] = F.coalesce("_b", none)
+        known = route in ("exact", "space")
+        return q.select("qid", F.lit("exact" if known else route).alias("route"), *(c.alias(f"{name}_candidates") for name, c in counts.items()), F.lit("rrf" if route == "hybrid" else "none").alias("fusion_mode"), F.lit(self.rerank_source).alias("rerank_source"), F.lit(1.0 if known else float("nan")).cast("float").alias("recall_estimate"))
+
+    def search_images(self, space: str, embedder, k: int, *, texts: list[str] = (), images: list[bytes] = (), check: bool = True) -> DataFrame:
+        """Hits in a space of images for texts, then images, as qid counts them; the embedder must be the space's model unless `check` is off."""
+        from ..functions.embed import model_hash
+
+        vectors = [*embedder.embed(list(texts)), *(embedder.embed_images(list(images)) if images else [])]
+        dim = self.manifest.extra.get("spaces", {}).get(space, {}).get("dim")
+        q = self.spark.createDataFrame([(i, [float(x) for x in v[:dim]]) for i, v in enumerate(vectors)], "qid long, query array<double>")
+        return self.hits(self.search_space(space, q, k, model_hash=model_hash(embedder) if check else None), "space", text=True)
 
     def cite(self, citation: str) -> dict:
         """The passage of a citation; it must name this content."""
@@ -373,6 +465,11 @@ class Corpus:
         for t in ("chunks", "vectors"):
             if table_digest(self._table(t)) != m.tables[t]:
                 raise ValidationError(f"table {t} is not the one that was built")
+        self.check_contract()
+        slab = bad_slab(self._table("vectors"), m.dtype, m.embedding_dim).select("ordinal", "problem").limit(1).collect()
+        if slab:
+            raise ValidationError(f"vector {slab[0][0]}: {slab[0][1]}")
+        check_spaces(m.extra.get("spaces", {}), m.model_hash)
         rows = self.raw_chunks.join(self._table("vectors").select("ordinal", decoded("embedding", m.dtype).alias("embedding")), "ordinal", "left")
         bad = bad_chunks(rows, m.embedding_dim).select("ordinal", "problem").limit(1).collect()
         if bad:
@@ -388,9 +485,14 @@ class Corpus:
         if m.capabilities.blobs and broken_blobs(self.blobs).limit(1).count():
             raise ValidationError("a blob doesn't have its recorded hash")
         for s, about in m.extra.get("spaces", {}).items():
-            n, low, high = self.space(s).agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
-            if n != m.n_chunks or low != about["dim"] or high != about["dim"]:
-                raise ValidationError(f"space {s}: it needs one vector of {about['dim']} dimensions per chunk")
+            n, ids, low, high = self.space(s).agg(F.count("*"), F.countDistinct("ordinal"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+            if low != about["dim"] or high != about["dim"] or n != ids or n > m.n_chunks:
+                raise ValidationError(f"space {s}: it needs one vector of {about['dim']} dimensions per chunk, at most")
+            if self.space(s).where(~all_finite("embedding")).limit(1).count():
+                raise ValidationError(f"space {s}: a vector is not finite")
+            if self.space(s).join(self.raw_chunks, "ordinal", "left_anti").limit(1).count():
+                raise ValidationError(f"space {s}: a vector of an unknown chunk")
+
 
 
 def doctor(spark: SparkSession) -> dict:

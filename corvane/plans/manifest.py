@@ -60,8 +60,13 @@ class Manifest:
     extra: dict[str, Any] = field(default_factory=dict)
 
     def contract(self) -> dict:
+        """The part of the contract that the content hash covers: indexes don't move citations."""
         return {"metric": self.metric, "score_type": self.score_type, "normalize": self.normalize, "index_type": "exact", "rerank_policy": "none"}
 
+    def search_contract(self) -> dict:
+        """What a reader must know to search, indexes included; written beside the manifest and compared with it."""
+        return {"metric": self.metric, "score_type": self.score_type, "normalize": self.normalize, "index_type": self.index_type, "rerank_policy": self.rerank_policy}
+
     def to_json(self) -> str:
         data = asdict(self)
         return canonical_json(data.pop("extra") | data)

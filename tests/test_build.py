@@ -288,8 +288,7 @@ chunker_version = "v1"
 kind = "jsonl"
 path = "{path}"
 order_by = ["id"]
-[source.text]
-template = "{{title}}\\n{{text}}"
+text = "{{title}}\\n{{text}}"
 [[models]]
 embedder = "lexical"
 text = "default"
@@ -316,7 +315,7 @@ def test_build_from_a_specification(spark, tmp_path, monkeypatch):
     assert "build lexical index" in dry_run(spec)["steps"]
     cache = str(tmp_path / "cache")
     c = build_from_spec(spark, spec, cache=cache)["starter"]
-    assert c.manifest.n_chunks == 12 and c.space_names == ["fake"] and (tmp_path / "out" / "starter.lock.json").exists()
+    assert c.manifest.n_chunks == 12 and c.space_names == ["fake-text"] and (tmp_path / "out" / "starter.lock.json").exists()
     before = spark.read.parquet(cache).count()
     spec.output.dir = str(tmp_path / "out2")
     again = build_from_spec(spark, spec, cache=cache)["starter"]
