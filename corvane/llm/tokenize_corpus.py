@@ -21,7 +21,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -277,15 +277,15 @@ def shipped(spark: SparkSession, path: str) -> Callable[[], BytePairTransducer]:
         raise ValueError(f"{path} has {size} bytes; a vocabulary of at most {VOCABULARY_BYTES} is sent to the workers")
     with open(path, "rb") as f:
         file = f.read()
-    name, shared = hashlib.sha256(file).hexdigest(), spark.sparkContext.broadcast(zlib.compress(file, 1))
+    return partial(_load, hashlib.sha256(file).hexdigest(), spark.sparkContext.broadcast(zlib.compress(file, 1)))
 
-    def load() -> BytePairTransducer:
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = BytePairTransducer(zlib.decompress(shared.value))
-        return _LOADED[name]
 
-    return load
+def _load(name: str, shared) -> BytePairTransducer:
+    # a function of the module, so that workers share its table; a nested one would be sent with a table of its own to every task
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = BytePairTransducer(zlib.decompress(shared.value))
+    return _LOADED[name]
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, *, vocabulary: str | None = None) -> DataFrame:
