@@ -144,15 +144,17 @@ def ivf_probes(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries:
     where = truth.join(index[1].select("ordinal", "cell"), "ordinal").select("qid", "cell").collect()  # at most sample * k rows
     if not where or books.cells == 1:
         return Probes(1, 1)
-    asked = {r[0]: i for i, r in enumerate(where)}
-    q = {r[0]: r[1] for r in drawn.select("qid", l2_normalize("query")).collect() if r[0] in asked}
+    holding: dict[int, list[int]] = {}
+    for qid, cell in where:
+        holding.setdefault(qid, []).append(cell)
+    q = {r[0]: r[1] for r in drawn.select("qid", l2_normalize("query")).collect() if r[0] in holding}
     width = 8
     while True:
         places = []
         for qid, v in q.items():
             cells = books.nearest(np.array([v]), books.cells, width)[0][0]
             place = {c: i for i, c in enumerate(cells.tolist())}
-            places += [place.get(r.cell, books.cells) for r in where if r.qid == qid]
+            places += [place.get(c, books.cells) for c in holding[qid]]
         need = int(np.sort(places)[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)])
         if need < books.cells or len(books.books) == 1 or width >= prod(map(len, books.books[:-1])):
             return Probes(min(need + 1, books.cells), width)

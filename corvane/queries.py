@@ -7,24 +7,27 @@ compare the operator with brute force on small fixtures.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import prod
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.embed import LexicalEmbedder, embed_column
-from .functions.identity import chunk_id, corpus_input_hash, item_input_hash
+from .functions.identity import CHUNK_DOMAIN, chunk_id, corpus_input_hash, item_input_hash
 from .functions.sql import register_functions
 from .functions.text import chunk_windows, derive, lexical_tokens, media_uri, template
-from .functions.vectors import all_finite, cosine, dequantize_int8, dot, l2_norm, quantize_int4, quantize_int8, truncate_renormalize
+from .functions.vectors import all_finite, cosine, decode_float16, dequantize_int8, distance_order, dot, encode_float16, l2_norm, quantize_int4, quantize_int8, truncate_renormalize
 from .operators import evaluate as ev
 from .operators.ann import ann_search, ivf_build
 from .operators.dedup import cluster_order, dedup_expand, dedup_pool, dense_index, similarity_order
 from .operators.graph import bounded_bfs, build_graph
-from .operators.joins import interval_join, label_lookup, lookup_join, missing_references
-from .operators.lexical import bm25_build, bm25_search, invalid_postings, rrf_union
-from .operators.media import blob_tables, blob_totals, broken_blobs, segment_offsets, span_overlay, stream_segments
+from .errors import SpecError
+from .operators.joins import check_total_order, interval_join, label_lookup, lookup_join, missing_references
+from .operators.lexical import bm25_build, bm25_scores, bm25_search, invalid_postings, rrf_union
+from .operators.media import blob_tables, blob_totals, broken_blobs, inverse_permutation, segment_offsets, span_overlay, stream_segments
 from .operators.search import exact_search, graph_search, hybrid_search, neighbor_context, split_queries, top_k
 from .sources.loaders import build_items, even_sample
+from .tables import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -110,10 +113,30 @@ def score_order_nan_last(spark, d):
     return top_k(rows, 20).select("qid", "rank", "ordinal", F.when(F.isnan("score"), -1.0).otherwise(F.round("score", 6)).alias("score"))
 
 
+def _index(spark, d):
+    return tuple(materialize(t, "cells") for t in ivf_build(_vectors(spark, d)))
+
+
 @query()
 def ann_topk(spark, d):
-    v = _vectors(spark, d)
-    return ann_search(v, ivf_build(v), _queries(spark, d), 10).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
+    return ann_search(_vectors(spark, d), _index(spark, d), _queries(spark, d), 10).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
+
+
+@query("select true reached, count(*) asked, count(*) * 10 found from embeddings where vec_id % 50 = 0")
+def ann_recall(spark, d):
+    """Whether the cells' answer holds 0.9 of the exact one and as many rows; the number of cells is measured to hold 0.95 on these queries."""
+    v, q = _vectors(spark, d), _queries(spark, d)
+    found = ann_search(v, _index(spark, d), q, 10)
+    r = ev.recall_at_k(found, exact_search(v, q, 10), 10).agg((F.avg("recall") >= 0.9).alias("reached"), F.count("*").alias("asked"))
+    return r.crossJoin(found.agg(F.count("*").alias("found")))  # one row each
+
+
+@query("select count(*) vectors, count(*) different, true in_range from embeddings")
+def ann_cells(spark, d):
+    """Every vector is in one cell of the codebooks."""
+    books, stored = _index(spark, d)
+    sizes = [r["count"] for r in books.groupBy("level").count().collect()]
+    return stored.agg(F.count("*").alias("vectors"), F.countDistinct("ordinal").alias("different"), ((F.min("cell") >= 0) & (F.max("cell") < prod(sizes))).alias("in_range"))
 
 
 def _edges(spark, d):
@@ -130,14 +153,31 @@ def graph_edges(spark, d):
     return _edges(spark, d)
 
 
+@query("select true passed, true reached")
+def graph_recall_gate(spark, d):
+    from .operators.battery import graph_recall_gate as gate
+
+    return gate(_vectors(spark, d), _edges(spark, d), _queries(spark, d)).select("passed", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"""with recursive {_EDGES}, s as (select vec_id node, row_number() over (order by vec_id) - 1 arrival from embeddings where vec_id % 50 = 0 and vec_id < 500),
+one as (select e.dst node, min({{'p': arrival, 't': edge_type, 'd': e.dst}}) how from s join e on e.src = s.node where e.dst not in (select node from s) group by 1)
+select node, arrival, 0 hop from s union all select * from (select node, (select count(*) from s) + row_number() over (order by how) - 1 arrival, 1 hop from one) where arrival < 25""")
+def graph_bfs_bounded(spark, d):
+    """Ten seeds of one query, a frontier of 25: the order of arrival decides who is in."""
+    seeds = _t(spark, d, "embeddings").where("vec_id % 50 = 0 and vec_id < 500").select(F.lit(0).cast("long").alias("qid"), F.col("vec_id").alias("node"), F.col("vec_id").alias("arrival"))
+    return bounded_bfs(_edges(spark, d), seeds, hops=1, max_frontier=25).select("node", F.col("arrival").cast("long").alias("arrival"), "hop")
+
+
 @query(f"with {_EDGES}, s as (select vec_id qid from embeddings where vec_id % 50 = 0), h1 as (select distinct qid, dst node from s join e on e.src = qid where dst != qid), h2 as (select distinct qid, dst node from h1 join e on e.src = node where dst != qid) select qid, qid node, 0 hop from s union all select qid, node, 1 from h1 union all select qid, node, 2 from (select * from h2 except select * from h1)")
 def graph_bfs_2hop(spark, d):
     seeds = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("node"), F.lit(0).alias("arrival"))
     return bounded_bfs(_edges(spark, d), seeds, hops=2, max_frontier=100_000).select("qid", "node", "hop")
 
 
-@query()
+@query(f"with {_TOP} select qid, rank::int rank, ordinal, round(score, 6) score from r where rank <= 10")
 def graph_search_rerank(spark, d):
+    """Seeds are the exact best 20, so the walk can only add what the rerank puts behind the best 10."""
     return graph_search(_vectors(spark, d), _edges(spark, d), _queries(spark, d), 10, hops=1, ef=20).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
@@ -172,14 +212,14 @@ def _bm25_top(spark, d, k):
 
 @query(f"with {_BM25} select qid, doc_id ordinal, round(score, 6) score from b")
 def bm25_score_all(spark, d):
-    from .operators.lexical import bm25_scores
-
     return bm25_scores(bm25_build(_chunks(spark, d)), _texts(spark, d)).select("qid", "ordinal", F.round("score", 6).alias("score"))
 
 
-@query(f"with {_BM25} select qid, round(score, 6) score, rank::int rank from (select qid, score, row_number() over (partition by qid order by score desc) rank from b) where rank <= 10")
+@query(f"with {_BM25} select qid, ordinal, round(score, 6) score, rank::int rank from (select qid, doc_id ordinal, score, row_number() over (partition by qid order by round(score, 9) desc, doc_id) rank from b) where rank <= 10")
 def bm25_topk(spark, d):
-    return _bm25_top(spark, d, 10).select("qid", "rank", F.round("score", 6).alias("score"))
+    """Sums of the same parts in another order differ in their last digits, so scores are ranked as rounded to 9."""
+    scores = bm25_scores(bm25_build(_chunks(spark, d)), _texts(spark, d))
+    return top_k(scores.withColumn("score", F.round("score", 9)), 10).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_TOP}, a as (select qid, ordinal, rank from r where rank <= 20), c as (select qid, ordinal, row_number() over (partition by qid order by ordinal) rank from a), f as (select qid, ordinal, sum(1.0::double / (60 + rank)) score from (select * from a union all select * from c) group by 1, 2) select qid, ordinal, round(score, 9) score, row_number() over (partition by qid order by score desc, ordinal)::int rank from f")
@@ -190,19 +230,31 @@ def rrf_fusion(spark, d):
     return rrf_union(a, b).select("qid", "rank", "ordinal", F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"with {_TOP} select qid, rank::int rank, ordinal, round(score, 6) score from r where rank <= 10")
 def hybrid_rerank(spark, d):
-    """Documents and vectors paired by id, where both exist."""
-    v = _vectors(spark, d)
-    chunks = _chunks(spark, d).join(v.select("ordinal"), "ordinal", "left_semi")
-    q = _queries(spark, d)
-    return hybrid_search(v, q, _texts(spark, d).join(q.select("qid"), "qid", "left_semi"), bm25_build(chunks), 10, candidates=32).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
+    """The lexical index holds all documents; documents without a vector can't be scored and fall away. The vector candidates hold the best 10."""
+    v, q = _vectors(spark, d), _queries(spark, d)
+    return hybrid_search(v, q, _texts(spark, d).join(q.select("qid"), "qid", "left_semi"), bm25_build(_chunks(spark, d)), 10, candidates=32).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
-@query("select * from (select 'x' problem, 0::bigint n) where false")
+@query(f"""with {_BM25}, dirty as (select term, doc_id, case when doc_id % 97 = 0 then 0 else tf end tf from p where doc_id % 101 != 0 or length(term) > 3),
+counts as (select term, count(*) n from dirty group by 1), lens as (select doc_id, sum(tf) n from dirty group by 1)
+select 'tf below 1' problem, count(*) n from dirty where tf < 1 having count(*) > 0
+union all select 'posting of an unknown document', count(*) from dirty where doc_id % 103 = 0 having count(*) > 0
+union all select 'df differs from the postings', count(*) from t left join counts c using (term) where df is distinct from c.n having count(*) > 0
+union all select 'length differs from the postings', count(*) from dl left join lens l using (doc_id) where doc_id % 103 != 0 and dl != coalesce(l.n, 0) having count(*) > 0
+union all select 'number of documents', 1 from g where n != (select count(*) from dl where doc_id % 103 != 0)
+union all select 'average length', 1 from g where abs(avgdl - (select avg(dl) from dl where doc_id % 103 != 0)) > 1e-9 * avgdl""")
 def bm25_validation(spark, d):
+    """An index that was damaged: frequencies set to 0, postings and documents taken away, the rest as it was built."""
     index = bm25_build(_chunks(spark, d))
-    return invalid_postings(index)
+    broken = index["postings"].where("ordinal % 101 != 0 or length(term) > 3").withColumn("tf", F.when(F.col("ordinal") % 97 == 0, 0).otherwise(F.col("tf")))
+    return invalid_postings(index | {"postings": broken, "doc_stats": index["doc_stats"].where("ordinal % 103 != 0")})
+
+
+@query("select 0::bigint n")
+def bm25_sound(spark, d):
+    return invalid_postings(bm25_build(_chunks(spark, d))).agg(F.count("*").alias("n"))
 
 
 # text and identity
@@ -230,7 +282,18 @@ def chunk_windows_overlap(spark, d):
     return chunk_windows(_t(spark, d, "documents").select("doc_id", "text"), "text", max_chars=300, overlap=60)
 
 
-@query()
+def _bytes_sql(n: str, size: int) -> str:
+    digits = f"lpad(lower(to_hex({n}::bigint)), 16, '0')"
+    return " || ".join(f"substr({digits}, {15 - 2 * i}, 2)" for i in range(size))
+
+
+def _id_sql(text: str = "canonical_text", uri: str = "source_uri", start: str = "byte_start", end: str = "byte_end", version: str = "v1") -> str:
+    sized = lambda c: f"{_bytes_sql(f'octet_length(encode({c}))', 4)} || hex(encode({c}))"
+    whole = " || ".join([f"'{CHUNK_DOMAIN.encode().hex()}'", sized(text), sized(uri), _bytes_sql(start, 8), _bytes_sql(end, 8), sized(f"'{version}'")])
+    return f"'sha256:' || sha256(unhex({whole}))"
+
+
+@query(f"select ordinal, {_id_sql()} chunk_id from chunks where canonical_text is not null and source_uri is not null")
 def chunk_ids(spark, d):
     c = _t(spark, d, "chunks").where("canonical_text is not null and source_uri is not null")
     return c.select("ordinal", chunk_id("canonical_text", "source_uri", "byte_start", "byte_end", "v1").alias("chunk_id"))
@@ -242,9 +305,11 @@ def item_hashes(spark, d):
     return c.select("ordinal", item_input_hash(F.coalesce("canonical_text", F.lit("")), None, "source_uri", "1").alias("item_input_hash"))
 
 
-@query("select 'sha256:' || sha256(string_agg(h, '' order by n_nationkey)) digest from (select n_nationkey, sha256(n_name) h from nation)")
+@query("""with h as (select row_number() over (order by ordinal) - 1 i, sha256(coalesce(canonical_text, '')) h from chunks), l as (select i // 65536 leaf, sha256(string_agg(h, '' order by i)) h from h group by 1)
+select 'sha256:' || case when count(*) = 1 then max(h) else sha256(string_agg(h, '' order by leaf)) end digest from l""")
 def corpus_digest(spark, d):
-    rows = _t(spark, d, "nation").select(F.col("n_nationkey").alias("ordinal"), F.sha2("n_name", 256).alias("item_input_hash"))
+    """Over all chunks, in the order of their ordinals."""
+    rows = dense_index(_t(spark, d, "chunks").select(F.col("ordinal").alias("old"), F.sha2(F.coalesce("canonical_text", F.lit("")), 256).alias("item_input_hash")), "old", "ordinal")
     return spark.createDataFrame([(corpus_input_hash(rows),)], "digest string")
 
 
@@ -332,15 +397,29 @@ def int8_quantize(spark, d):
     return q.select("vec_id", F.round(F.col("q.scale").cast("double"), 9).alias("scale"), F.col("q.codes").alias("codes"))
 
 
-@query()
+_INT8 = "m8 as (select vec_id, embedding e, list_max(list_transform(embedding, lambda x: abs(x))) top from embeddings), s8 as (select vec_id, e, case when top > 0 then (top / 127::float)::float else 1::float end scale from m8), v8 as (select vec_id, list_transform(e, lambda x: ((greatest(-127, least(127, round((x / scale)::float)))::float) * scale)::float)::double[] e from s8)"
+
+
+@query(f"with {_V}, {_INT8}, s as (select q.vec_id qid, v8.vec_id ordinal, list_inner_product(q.e, v8.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v8.e, v8.e))) score from q, v8), r as (select *, row_number() over (partition by qid order by score desc, ordinal) rank from s) select qid, rank::int rank, ordinal, round(score, 6) score from r where rank <= 10")
 def int8_search(spark, d):
     v = _vectors(spark, d).select("ordinal", dequantize_int8(quantize_int8("embedding")).alias("embedding"))
-    return exact_search(v, _queries(spark, d), 10).select("qid", "rank", "ordinal", F.round("score", 4).alias("score"))
+    return exact_search(v, _queries(spark, d), 10).select("qid", "rank", "ordinal", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""with b as (select vec_id, embedding e, (list_max(list_transform(embedding, lambda x: abs(x))) / 7::float)::float s from embeddings),
+h as (select vec_id, e, case when s > 0 then (round_even((s / pow(2, floor(log2(s)) - 10))::double, 0) * pow(2, floor(log2(s)) - 10))::float else 1::float end s from b),
+c as (select vec_id, s, list_transform(e, lambda x: (greatest(-7, least(7, trunc(((x / s)::float + case when x < 0 then -0.5 else 0.5 end)::float)))::int + 16) % 16) n from h)
+select vec_id, round(s::double, 9) scale, array_to_string(list_transform(range(1, 33), lambda i: substr('0123456789ABCDEF', n[2 * i] + 1, 1) || substr('0123456789ABCDEF', n[2 * i - 1] + 1, 1)), '') codes from c""")
 def int4_quantize(spark, d):
-    return _t(spark, d, "embeddings").select("vec_id", quantize_int4("embedding").alias("q")).select("vec_id", "q.scales", "q.codes")
+    """One block of 64: its half-precision scale, and the codes' bytes, the first of two in the low half."""
+    q = _t(spark, d, "embeddings").select("vec_id", quantize_int4("embedding").alias("q"))
+    return q.select("vec_id", F.round(F.get("q.scales", 0).cast("double"), 9).alias("scale"), F.hex("q.codes").alias("codes"))
+
+
+@query("select vec_id, list_transform(embedding, lambda x: round((case when x = 0 then 0 else round_even((x::double / pow(2, greatest(floor(log2(abs(x::double))), -14) - 10)), 0) * pow(2, greatest(floor(log2(abs(x::double))), -14) - 10) end)::double, 8)) v from embeddings")
+def float16_roundtrip(spark, d):
+    back = decode_float16(encode_float16("embedding"))
+    return _t(spark, d, "embeddings").select("vec_id", F.transform(back, lambda x: F.round(x.cast("double"), 8)).alias("v"))
 
 
 @query("with p as (select vec_id, embedding[1:16]::double[] e from embeddings), n as (select vec_id, e, sqrt(list_inner_product(e, e)) n from p) select vec_id, list_transform(e, lambda x: round(x / n, 6)) v from n")
@@ -374,9 +453,25 @@ def lookup_join_last_wins(spark, d):
     return lookup_join(_t(spark, d, "customer").select("c_custkey", "c_name"), right, "c_custkey", order="o_orderkey")
 
 
-@query("select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1")
-def total_order_duplicates(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+@query("select 'l_orderkey' k, exists (select 1 from lineitem group by l_orderkey having count(*) > 1) refused union all select 'l_orderkey, l_linenumber', exists (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1) union all select 'ordinal', exists (select 1 from chunks group by ordinal having count(*) > 1)")
+def total_order_checks(spark, d):
+    """Which sets of keys the check refuses."""
+    out = []
+    for table, keys in (("lineitem", ["l_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]), ("chunks", ["ordinal"])):
+        try:
+            check_total_order(_t(spark, d, table), keys)
+            out.append((", ".join(keys), False))
+        except SpecError:
+            out.append((", ".join(keys), True))
+    return spark.createDataFrame(out, "k string, refused boolean")
+
+
+@query("with x as (select query_ordinal, id, dist, row_number() over (partition by query_ordinal order by coalesce(isnan(dist), false), dist nulls last, id) r from candidates where dist is not null) select query_ordinal, id, case when isnan(dist) then -1 else round(dist::double, 6) end dist, r::int r from x where r <= 3")
+def distance_order_nan_last(spark, d):
+    """The three nearest of each list, NaN last."""
+    w = Window.partitionBy("query_ordinal").orderBy(*distance_order("dist", "id"))
+    c = _t(spark, d, "candidates").where("dist is not null").select("query_ordinal", "id", "dist", F.row_number().over(w).alias("r")).where("r <= 3")
+    return c.select("query_ordinal", "id", F.when(F.isnan("dist"), -1.0).otherwise(F.round(F.col("dist").cast("double"), 6)).alias("dist"), "r")
 
 
 @query("select o_orderkey, s.segment from orders join (select i segment, i * 777 start_frame, 500 n from range(0, 400) t(i)) s on o_orderkey >= start_frame and o_orderkey < start_frame + n")
@@ -390,22 +485,24 @@ def missing_reference(spark, d):
     return missing_references(_t(spark, d, "orders"), _t(spark, d, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("with l as (select n_name, 'R' || n_regionkey v from nation where n_regionkey < 3) select n_nationkey, coalesce(l.v, '') label from nation left join l using (n_name)")
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then '' else 'N' || s_nationkey end label from supplier")
 def label_by_path_or_stem(spark, d):
-    n = _t(spark, d, "nation")
-    labels = n.where("n_regionkey < 3").select("n_name", F.concat(F.lit("R"), "n_regionkey").alias("label"), "n_nationkey")
-    named = labels.select(F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("img/"), "n_name", F.lit(".png"))).otherwise(F.col("n_name")).alias("name"), "label")
-    return label_lookup(n.select("n_nationkey", F.concat(F.lit("img/"), "n_name", F.lit(".png")).alias("origin")), named).select("n_nationkey", "label")
+    """Labels of half the suppliers by path, of the others by stem; a third has none."""
+    s = _t(spark, d, "supplier").withColumn("origin", F.concat(F.lit("img/"), F.regexp_replace("s_name", "#", "-"), F.lit(".png")))
+    named = s.where("s_suppkey % 3 != 0").select(F.when(F.col("s_suppkey") % 2 == 0, F.col("origin")).otherwise(F.regexp_replace("s_name", "#", "-")).alias("name"), F.concat(F.lit("N"), "s_nationkey").alias("label"))
+    return label_lookup(s.select("s_suppkey", "origin"), named).select("s_suppkey", "label")
 
 
 # media tables
 
 
-@query("with b as (select p_partkey - 1 blob_index, 'part://' || p_partkey u from part where p_partkey <= 100), s as (select ordinal, case when ordinal % 3 = 0 then ordinal % 100 end blob_index from chunks) select c.ordinal, coalesce(b.u, c.source_uri) source_uri, case when b.u is not null then 5 else c.byte_start end byte_start from chunks c join s using (ordinal) left join b using (blob_index)")
+@query("with b as (select p_partkey - 1 blob_index, 'part://' || p_partkey u from part), s as (select ordinal, case when ordinal % 3 = 0 then ordinal % (select count(*) from part) end blob_index from chunks) select c.ordinal, coalesce(b.u, c.source_uri) source_uri, case when b.u is not null then 5 else c.byte_start end byte_start from chunks c join s using (ordinal) left join b using (blob_index)")
 def blob_span_overlay(spark, d):
-    blobs = _t(spark, d, "part").where("p_partkey <= 100").select((F.col("p_partkey") - 1).alias("blob_index"), F.concat(F.lit("part://"), "p_partkey").alias("original_uri"))
+    """A blob for every part; every third chunk has a span in one of them."""
+    part = _t(spark, d, "part")
+    blobs = part.select((F.col("p_partkey") - 1).alias("blob_index"), F.concat(F.lit("part://"), "p_partkey").alias("original_uri"))
     c = _t(spark, d, "chunks").select("ordinal", "source_uri", "byte_start", "byte_end")
-    spans = c.select("ordinal", F.when(F.col("ordinal") % 3 == 0, F.col("ordinal") % 100).alias("blob_index"), F.lit(5).cast("long").alias("byte_start"), F.lit(9).cast("long").alias("byte_end"))
+    spans = c.select("ordinal", F.when(F.col("ordinal") % 3 == 0, F.col("ordinal") % part.count()).alias("blob_index"), F.lit(5).cast("long").alias("byte_start"), F.lit(9).cast("long").alias("byte_end"))
     return span_overlay(c, spans, blobs).select("ordinal", "source_uri", "byte_start")
 
 
@@ -428,9 +525,10 @@ def media_segments(spark, d):
     return stream_segments(_t(spark, d, "part").select(F.col("p_partkey").alias("position")), 64)
 
 
-@query("select n_nationkey segment, n_regionkey::bigint + 1 n_frames, coalesce(sum(n_regionkey + 1) over (order by n_nationkey rows between unbounded preceding and 1 preceding), 0)::bigint start_frame from nation")
+@query("with n as (select o_orderkey segment, count(*) n_frames from orders join lineitem on l_orderkey = o_orderkey group by 1) select segment, n_frames, coalesce(sum(n_frames) over (order by segment rows between unbounded preceding and 1 preceding), 0)::bigint start_frame from n")
 def segment_running_sum(spark, d):
-    return segment_offsets(_t(spark, d, "nation").select(F.col("n_nationkey").alias("segment"), (F.col("n_regionkey").cast("long") + 1).alias("n_frames")))
+    """Orders as segments, their lines as frames."""
+    return segment_offsets(_t(spark, d, "lineitem").join(_t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy(F.col("l_orderkey").alias("segment")).agg(F.count("*").alias("n_frames")))
 
 
 @query("with f as (select s_nationkey, min(s_suppkey) m from supplier group by 1), b as (select s_nationkey, row_number() over (order by m) - 1 blob_index from f) select s_suppkey ordinal, blob_index from supplier join b using (s_nationkey)")
@@ -528,6 +626,149 @@ def lexical_embedding(spark, d):
     return _t(spark, d, "documents").select("doc_id", embed_column("title", LexicalEmbedder(64)).alias("embedding"))
 
 
+# a corpus, built once a session and folder from the chunks that keep the store's rules, and its verbs
+
+_BUILT: dict[tuple[str, str], object] = {}
+_OWN = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0 and canonical_text is not null and source_uri is not null and byte_start >= 0 and byte_end >= byte_start"
+_STORE = f"c as (select row_number() over (order by ordinal) - 1 ordinal, canonical_text, source_uri, byte_start, byte_end, embedding::double[] e from chunks where {_OWN}), ids as (select *, {_id_sql(version='q1')} chunk_id from c)"
+_ASKED = "q as (select vec_id qid, embedding::double[] v from embeddings where vec_id % 50 = 0)"
+_COSINE = "list_inner_product(q.v, c.e) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.e, c.e)))"
+_FOUND = f"{_STORE}, {_ASKED}, s as (select qid, ordinal, round({_COSINE}, 9) score from q, c), r as (select *, row_number() over (partition by qid order by score desc, ordinal) rank from s)"
+
+
+def _corpus(spark, d):
+    from .functions.vectors import l2_norm
+    from .plans.corpus import bad_chunks, build_corpus
+    from .tables import work_dir
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        c = _t(spark, d, "chunks")
+        sound = c.join(bad_chunks(c, 64).select("ordinal"), "ordinal", "left_anti").where(l2_norm("embedding") > 0)
+        rows = materialize(dense_index(sound.select(F.col("ordinal").alias("_old"), "canonical_text", "source_uri", "byte_start", "byte_end", "embedding"), "_old", "ordinal").drop("_old"), "store-rows")
+        spaces = {"even": rows.where("ordinal % 2 = 0").select("ordinal", truncate_renormalize("embedding", 32).cast("array<float>").alias("embedding"))}
+        path = f"{work_dir(spark)}/store-{abs(hash(key))}-{len(_BUILT)}"
+        _BUILT[key] = build_corpus(rows, path, embedding_model="test", embedding_dim=64, model_hash="sha256:" + "1" * 64, chunker_version="q1", preset="hybrid", spaces=spaces)
+    return _BUILT[key]
+
+
+def _asked(spark, d):
+    return _queries(spark, d)
+
+
+@query(f"with {_STORE} select ordinal, chunk_id, byte_start, byte_end from ids")
+def corpus_chunks(spark, d):
+    """Build, rename, open, scan."""
+    return _corpus(spark, d).chunks.select("ordinal", "chunk_id", "byte_start", "byte_end")
+
+
+@query(f"with {_FOUND} select r.qid, r.rank::int rank, r.ordinal, round(r.score::float::double, 5) score, ids.chunk_id, ids.source_uri, ids.byte_start offset_start, ids.byte_end offset_end, 'exact' index_type, false reranked, true cited from r join ids using (ordinal) where rank <= 5")
+def corpus_hits(spark, d):
+    """Citable hits of the exact search; scores are ranked as rounded to 9 digits, as equal texts have vectors that differ in scale only."""
+    c = _corpus(spark, d)
+    scored = exact_search(c.vectors, _asked(spark, d), 60).withColumn("score", F.round("score", 9))
+    h = c.hits(top_k(scored, 5), "exact")
+    cited = F.col("citation_id") == F.concat(F.lit(f"corpus://{c.manifest.content_hash}/"), "chunk_id")
+    return h.select("qid", "rank", "ordinal", F.round(F.col("score").cast("double"), 5).alias("score"), "chunk_id", "source_uri", "offset_start", "offset_end", "index_type", "reranked", cited.alias("cited"))
+
+
+@query("select vec_id qid, case when vec_id % 100 = 0 then 'hnsw' else 'hybrid' end index_type, true reranked, 5::bigint n from embeddings where vec_id % 50 = 0")
+def corpus_routes(spark, d):
+    """Queries with a text go the hybrid way, those with a blank one the other; every row says which."""
+    q = _asked(spark, d).withColumn("text", F.when(F.col("qid") % 100 == 0, " ").otherwise("alpha"))
+    return _corpus(spark, d).retrieve(q, 5).groupBy("qid", "index_type", "reranked").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_STORE}, {_ASKED}, s as (select qid, 'exact' route, (select count(*) from c) exact_candidates from q) select qid, route, exact_candidates, 0::bigint graph_candidates, 'none' fusion_mode, 1.0::double recall from s")
+def corpus_explain(spark, d):
+    e = _corpus(spark, d).explain(_asked(spark, d), 5, "exact")
+    return e.select("qid", "route", "exact_candidates", "graph_candidates", "fusion_mode", F.col("recall_estimate").cast("double").alias("recall"))
+
+
+@query(f"with {_STORE}, {_ASKED} select q.qid, 'hybrid' route, true asked_some, true lexical, true unknown_recall from q")
+def corpus_explain_hybrid(spark, d):
+    q = _asked(spark, d).withColumn("text", F.lit("de la und the"))
+    e = _corpus(spark, d).explain(q, 5, "hybrid")
+    return e.select("qid", "route", (F.col("ann_candidates") > 0).alias("asked_some"), (F.col("bm25_candidates") <= 64).alias("lexical"), F.isnan("recall_estimate").alias("unknown_recall"))
+
+
+@query(f"with {_STORE}, half as (select ordinal, e[1:32] e from c where ordinal % 2 = 0), q as (select vec_id qid, embedding[1:32]::double[] v from embeddings where vec_id % 50 = 0), s as (select qid, max(round({_COSINE.replace('c.e', 'half.e')}, 5)) best, count(*) n from q, half group by 1) select qid, best from s")
+def corpus_space(spark, d):
+    """The best score in a named space of half the chunks and half the dimensions."""
+    q = _queries(spark, d).select("qid", F.slice("query", 1, 32).alias("query"))
+    return _corpus(spark, d).search_space("even", q, 1).select("qid", F.round("score", 5).alias("best"))
+
+
+@query(f"with {_STORE} select ordinal, canonical_text from c where ordinal >= 20 and ordinal < 50")
+def corpus_browse(spark, d):
+    return _corpus(spark, d).browse(20, 30).select("ordinal", "canonical_text")
+
+
+@query(f"with {_STORE} select a.ordinal, (select string_agg(b.canonical_text, ' ' order by b.ordinal) from c b where b.ordinal between a.ordinal - 1 and a.ordinal + 1) context from c a")
+def corpus_context(spark, d):
+    return _corpus(spark, d).context(1, " ")
+
+
+@query(f"""with {_STORE}, tok as (select ordinal, {_TOKENS.format("canonical_text")} w from c), p as (select ordinal, unnest(w) term from tok)
+select 'chunks' "table", count(*) n from c union all select 'vectors', count(*) from c union all select 'ann_cells', count(*) from c union all select 'bm25_doc_stats', count(*) from c
+union all select 'bm25_postings', count(distinct (ordinal, term)) from p union all select 'bm25_terms', count(distinct term) from p union all select 'bm25_corpus', 1""")
+def corpus_tables(spark, d):
+    """Rows of each table of the built corpus, by inspect()."""
+    rows = _corpus(spark, d).inspect()["rows"]
+    return spark.createDataFrame([(t, n) for t, n in rows.items() if t not in ("ann_codebooks", "ann_probes")], "`table` string, n long")
+
+
+@query("select * from (values ('as it is', 'sound'), ('contract', 'ManifestError'), ('model', 'ModelMismatch'), ('space', 'NotIndexed'), ('citation', 'CitationError')) t(damage, said)")
+def corpus_refusals(spark, d):
+    """What the corpus says to damage and to wrong questions."""
+    from .errors import CorvaneError
+    from .plans.corpus import Corpus
+    from .plans.manifest import Manifest, check_model
+
+    c = _corpus(spark, d)
+    other = Manifest.from_json(c.manifest.to_json())
+    other.index_type, other.capabilities.bm25 = "hnsw", False
+    asks = {
+        "as it is": c.validate, "contract": Corpus(spark, c.path, other).check_contract, "model": lambda: check_model(c.manifest, "sha256:" + "2" * 64),
+        "space": lambda: c.space("none"), "citation": lambda: c.cite(f"corpus://{c.manifest.content_hash}/sha256:none"),
+    }
+    said = []
+    for name, ask in asks.items():
+        try:
+            ask()
+            said.append((name, "sound"))
+        except CorvaneError as e:
+            said.append((name, type(e).__name__))
+    return spark.createDataFrame(said, "damage string, said string")
+
+
+@query("select vec_id, case when vec_id % 5 = 0 then 'not finite' when vec_id % 5 = 1 then 'dimension' when vec_id % 5 = 2 then 'null' end problem from embeddings where vec_id % 5 < 3")
+def slab_validation(spark, d):
+    """Stored int8 vectors with scales, lengths and rows damaged."""
+    from .plans.corpus import bad_slab
+
+    q = _t(spark, d, "embeddings").select(F.col("vec_id"), quantize_int8("embedding").alias("q"))
+    scale = F.when(F.col("vec_id") % 5 == 0, float("nan")).otherwise(F.col("q.scale")).cast("float")
+    codes = F.when(F.col("vec_id") % 5 == 1, F.slice("q.codes", 1, 63)).otherwise(F.col("q.codes"))
+    stored = q.select("vec_id", F.when(F.col("vec_id") % 5 != 2, F.struct(scale.alias("scale"), codes.alias("codes"))).alias("embedding"))
+    return bad_slab(stored, "int8", 64).select("vec_id", "problem")
+
+
+@query("select position, ordinal from (select row_number() over (order by vec_id desc) - 1 position, vec_id ordinal from embeddings)")
+def inverse_order(spark, d):
+    """A permutation, inverted twice."""
+    n = _t(spark, d, "embeddings").count()
+    order = _t(spark, d, "embeddings").select((F.lit(n - 1) - F.col("vec_id")).alias("position"), F.col("vec_id").alias("ordinal"))
+    once = inverse_permutation(order)
+    return inverse_permutation(once.select(F.col("ordinal").alias("position"), F.col("position").alias("ordinal"))).select(F.col("ordinal").alias("position"), F.col("position").alias("ordinal"))
+
+
+@query("with x as (select o_totalprice v, row_number() over (order by o_totalprice, o_orderkey) - 1 i, count(*) over () n from orders) select v value from x where i = round_even(0.95 * (n - 1), 0)")
+def nearest_rank_value(spark, d):
+    rows = _t(spark, d, "orders").select("o_totalprice")
+    return ev.nearest_rank(rows, "o_totalprice", 0.95)
+
+
 # source queries: Spark's SQL surface as a source of a build
 
 
