@@ -34,20 +34,31 @@ def chunk_windows(df: DataFrame, text_col: str, *, max_chars: int = 512, overlap
     step = max_chars - overlap
     kept = [F.col("`" + c + "`") for c in df.columns if keep_text or c != text_col]
     t = F.col("`" + text_col + "`")
-    pieces = df.where(F.length(t) > 0).select(*kept, F.length(t).alias("_n"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("_pieces"))
-    # where each piece starts, as one running sum over their sizes
-    sizes = F.transform("_pieces", lambda p: F.octet_length(p).cast("long"))
-    first = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("end"))
-    starts = F.aggregate(sizes, first, lambda s, n: F.struct(F.array_append(s["at"], s["end"]).alias("at"), (s["end"] + n).alias("end")), lambda s: s["at"])
-    count = F.when(F.col("_n") <= max_chars, F.lit(1)).otherwise(F.lit(1) + F.ceil((F.col("_n") - max_chars) / step).cast("int"))
-    more = -(-max_chars // step)  # pieces that a window reaches into
-    window = lambda i: F.substring(F.array_join(F.slice("_pieces", i + 1, more), ""), 1, max_chars)
-    cut = pieces.withColumn("_starts", starts).withColumn("_cut", F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_no"), window(i).alias("canonical_text"), F.get("_starts", i).alias("byte_start"))))
-    kept = [F.col("`" + c + "`") for c in df.columns if keep_text or c != text_col]
-    out = cut.select(*kept, F.explode("_cut").alias("_w")).select(*kept, "_w.*")
+    n, more = F.length(t), -(-max_chars // step)  # more: pieces that a window reaches into
+    count = F.when(n <= max_chars, F.lit(1)).otherwise(F.lit(1) + F.ceil((n - max_chars) / step).cast("int"))
+
+    def starts(pieces: Column) -> Column:
+        """Where each piece starts, as one running sum over their sizes."""
+        first = F.struct(F.array().cast("array<bigint>").alias("at"), F.lit(0).cast("long").alias("end"))
+        sizes = F.transform(pieces, lambda p: F.octet_length(p).cast("long"))
+        return F.aggregate(sizes, first, lambda s, x: F.struct(F.array_append(s["at"], s["end"]).alias("at"), (s["end"] + x).alias("end")), lambda s: s["at"])
+
+    def windows(pieces: Column, at: Column) -> Column:
+        # slice() walks the whole array, so the few pieces of a usual window are taken one by one
+        joined = (lambda i: F.concat_ws("", *(F.get(pieces, i + j) for j in range(more)))) if more <= 16 else lambda i: F.array_join(F.slice(pieces, i + 1, more), "")
+        window = lambda i: F.substring(joined(i), 1, max_chars)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_no"), window(i).alias("canonical_text"), F.get(at, i).alias("byte_start")))
+
+    cut = _let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), lambda pieces: _let(starts(pieces), lambda at: windows(pieces, at)))
+    out = df.where(n > 0).select(*kept, F.explode(cut).alias("_w")).select(*kept, "_w.*")
     return out.withColumn("byte_end", F.col("byte_start") + F.octet_length("canonical_text"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once; a column that is used once in the next projection would be put in its place, inside a loop too."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def basename_stem(path: Column | str) -> Column:
     """File name of a path or URL without query string and last extension; a trailing slash is ignored."""
     c = F.col(path) if isinstance(path, str) else path

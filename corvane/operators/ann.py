@@ -140,7 +140,7 @@ def ivf_probes(vectors: DataFrame, index: tuple[DataFrame, DataFrame], queries:
     """
     books = codebooks(index[0])
     drawn = queries.select("qid", "query").orderBy(F.xxhash64("qid"), "qid").limit(sample)
-    truth = exact_search(vectors, drawn, k + own).where(F.col("ordinal") != F.col("qid") if own else F.lit(True)).select("qid", "ordinal")
+    truth = exact_search(index[1].select("ordinal", "embedding"), drawn, k + own).where(F.col("ordinal") != F.col("qid") if own else F.lit(True)).select("qid", "ordinal")
     where = truth.join(index[1].select("ordinal", "cell"), "ordinal").select("qid", "cell").collect()  # at most sample * k rows
     if not where or books.cells == 1:
         return Probes(1, 1)
