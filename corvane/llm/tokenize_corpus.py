@@ -206,7 +206,7 @@ class BytePairTransducer:
             if safe < len(spans):
                 at = spans[safe][0]
                 text = text[at:]
-                if safe == len(spans) - 1 and len(text) > _OPEN:
+                if safe == len(spans) - 1 and len(text) > max(_OPEN, 3):  # longer than the fixed endings of the pattern
                     run = next(c for c in self.classes if c.fullmatch(text[-1]))
                     end = len(text) - (run is self.classes[3])
                     yield text[:end], False
