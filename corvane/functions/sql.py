@@ -40,7 +40,7 @@ _FUNCTIONS = {
     "vector_dot": ("(a array<double>, b array<double>) returns double", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
     "vector_norm": ("(a array<double>) returns double", "sqrt(aggregate(a, 0D, (s, x) -> s + x * x))"),
     "vector_cosine": ("(a array<double>, b array<double>) returns double", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x) / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))"),
-    "vector_normalize": ("(a array<double>) returns array<double>", "transform(a, x -> x / sqrt(aggregate(a, 0D, (s, y) -> s + y * y)))"),
+    "vector_normalize": ("(a array<double>) returns array<double>", "transform(array(sqrt(aggregate(a, 0D, (s, y) -> s + y * y))), n -> transform(a, x -> x / n))[0]"),
     "lexical_tokens": ("(t string) returns array<string>", r"regexp_extract_all(lower(t), r'[\p{IsAlphabetic}\p{N}]{2,}', 0)"),
     "rrf_weight": ("(r int) returns double", "1D / (60 + r)"),
 }

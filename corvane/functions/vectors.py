@@ -27,11 +27,19 @@ def l2_norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(_col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an expression that stands inside a lambda is evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalize(v: Column | str) -> Column:
     """v divided by its norm as doubles; a zero or non-finite norm leaves it unscaled."""
-    v, n = _col(v), l2_norm(v)
-    usable = (n > 0) & ~F.isnan(n) & (n < float("inf"))
-    return F.when(usable, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    def scaled(x: Column, n: Column) -> Column:
+        usable = (n > 0) & ~F.isnan(n) & (n < float("inf"))
+        return F.when(usable, F.transform(x, lambda y: y.cast("double") / n)).otherwise(F.transform(x, lambda y: y.cast("double")))
+
+    return let(_col(v), lambda x: let(l2_norm(x), lambda n: scaled(x, n)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -65,11 +73,14 @@ def _f32(c: Column) -> Column:
 
 def quantize_int8(v: Column | str) -> Column:
     """struct(scale FLOAT, codes ARRAY<TINYINT>): scale = absmax / 127 in single precision, codes rounded half away from zero and clamped to +-127; a zero vector gets scale 1."""
-    v = _col(v)
-    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("float"))))
-    scale = F.when(top > 0, _f32(top / F.lit(127.0).cast("float"))).otherwise(F.lit(1.0).cast("float"))
-    codes = F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(_f32(x.cast("float") / scale)).cast("int"))).cast("tinyint"))
-    return F.struct(scale.alias("scale"), codes.alias("codes"))
+    one = lambda x, scale: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(_f32(x.cast("float") / scale)).cast("int"))).cast("tinyint")
+
+    def quantized(x: Column) -> Column:
+        top = F.array_max(F.transform(x, lambda y: F.abs(y.cast("float"))))
+        scale = F.when(top > 0, _f32(top / F.lit(127.0).cast("float"))).otherwise(F.lit(1.0).cast("float"))
+        return let(scale, lambda s: F.struct(s.alias("scale"), F.transform(x, lambda y: one(y, s)).alias("codes")))
+
+    return let(_col(v), quantized)
 
 
 def dequantize_int8(q: Column | str) -> Column:

@@ -162,11 +162,11 @@ def stratified_pick(df: DataFrame, bucket: str, order: str, per_bucket: int) ->
 
     A bucket of any size is spread over ranges of (bucket, order): rows are numbered over all ranges, and a bucket's first number is taken off.
     """
-    numbered = dense_index(df, [bucket, order], "_i")
+    numbered = dense_index(df, [bucket, order], "_place")
     sizes = df.groupBy(bucket).agg(F.count("*").alias("_size"), F.min(order).alias(order))
-    firsts = numbered.select(order, F.col(bucket).alias("_b"), F.col("_i").alias("_first")).join(sizes.select(order, F.col(bucket).alias("_b2"), "_size"), order).where("_b <=> _b2").select("_b", "_first", "_size")
+    firsts = numbered.select(order, F.col(bucket).alias("_b"), F.col("_place").alias("_first")).join(sizes.select(order, F.col(bucket).alias("_b2"), "_size"), order).where("_b <=> _b2").select("_b", "_first", "_size")
     step = F.greatest(F.lit(1), F.floor(F.col("_size") / per_bucket))
-    at = F.col("_i") - F.col("_first")
+    at = F.col("_place") - F.col("_first")
     picked = numbered.join(firsts, F.col(bucket).eqNullSafe(F.col("_b"))).where((at % step == 0) & (at / step < per_bucket))
     return picked.select(*df.columns)
 
