@@ -228,7 +228,7 @@ def trie_join(group: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: np.nda
         alo, ahi, blo, bhi, most = tries, ends, tries, ends, 2 * room
     budget = np.floor(factor * most + 1e-9).astype(np.int64)
     err = np.zeros(len(alo), np.int64)
-    found_a, found_b = [], []
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # no group may have both tries
 
     def finish(alo, ahi, blo, bhi):
         """Every row pair of these node pairs, over whole sketches."""

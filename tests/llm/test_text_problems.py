@@ -104,6 +104,22 @@ def test_heavy_windows_are_cut_before_the_shuffle(spark, monkeypatch):
     assert cut[0] > 0 and cut[1] == 0
 
 
+def test_a_trie_without_the_other(spark):
+    """More records than a trie may have hold a window, but only two of one block have it in their prefixes: their pairs of blocks lack one side."""
+    import corvane.llm.near_duplicates as nd
+
+    some = np.zeros(2, np.int64)
+    assert [len(x) for x in trie_join(some, some + 1, some + 5, np.zeros((2, 32), np.uint8), 0.5)] == [0, 0]
+    blocks = -(-42 // 4)
+    a, b = [i for i in range(1000) if nd.mix64(np.array([i], np.uint64))[0] % np.uint64(blocks) == blocks // 2][:2]
+    rows = [(1000 + i, "c1 c2 c3 c4 " + " ".join(f"u{i}x{j}" for j in range(20))) for i in range(40)] + [(a, "c1 c2 c3 c4 x"), (b, "c1 c2 c3 c4 y")]
+    df = spark.createDataFrame(rows, "doc long, text string").coalesce(1)
+    keys = nd.sketch_keys(nd.shingle_table(df, "doc", "text", 3), nd.Fraction(1, 2), 4)
+    assert {r.id for r in keys.where("block >= 0").collect()} == {a, b}
+    pairs, members = near_duplicates(df, "doc", "text", words=3, threshold=0.5, max_trie=4)
+    assert {(r.id_a, r.id_b): (r.shared, r.total) for r in expand_pairs(pairs, members).collect()} == {(a, b): (2, 4)}
+
+
 def test_levels_follow_the_frequency(spark, monkeypatch):
     import corvane.llm.near_duplicates as nd
 
